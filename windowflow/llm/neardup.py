@@ -11,8 +11,9 @@ far below the threshold; the rest are compared on their full shingle sets.
 Work in a bucket of candidates never makes all its pairs. Documents with the same set are one class from
 the start. Every class is first compared with the smallest one of each of its buckets; found links
 join classes into components. Only buckets that still hold more than one component are looked at again,
-in tiles of bounded size, and only pairs between components that pass the estimate leave a tile. No
-bucket is capped.
+in tiles of bounded size. A tile gives, for an entry and a part of the other documents, the list of those
+in other components that pass the estimate, and the entry visits that part's full sets. No bucket is
+capped, and no pair that passes the estimate stays unchecked.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -32,7 +33,8 @@ WORDS, BUCKETS, BAND = 5, 128, 4
 BANDS = BUCKETS // BAND
 ZEROS, MANTISSA = 6, 10
 TILE = 256
-_M = (1 << 64) - 1
+#: Documents whose full sets are held together when entries are compared with them.
+PART = 500
 
 
 def _splitmix(x: np.ndarray) -> np.ndarray:
@@ -99,9 +101,9 @@ def estimate(equal: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _hopeful(equal: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Pairs whose sizes allow the similarity and whose estimate is at most five deviations short of it."""
+    """Pairs whose sizes allow the similarity and whose estimate is at most four deviations short of it."""
     a, b = a.astype(np.float64), b.astype(np.float64)
-    least = similarity - 5 * np.sqrt(similarity * (1 - similarity) / np.minimum(BUCKETS, np.maximum(a, b)))
+    least = similarity - 4 * np.sqrt(similarity * (1 - similarity) / np.minimum(BUCKETS, np.maximum(a, b)))
     return (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9) & (estimate(equal, a, b) >= least)
 
 
@@ -158,40 +160,48 @@ def _confirm(percent: int):
 
 
 def _tiles(similarity: float):
-    """Rows come sorted by tile. Pairs of different components that agree on the tile's band first."""
+    """Rows come sorted by tile. Out go, for an entry and a group of others, those that may be linked to it.
+
+    Only pairs of different components count, each in the first band on which it agrees; the entry is the
+    one whose component has fewer members in the tile, so a stray meets a large component in a few rows.
+    """
 
     def pairs(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        diagonal = rows["lo"][0] == rows["hi"][0]
         first = np.flatnonzero(rows["block"] == rows["lo"][0])
+        diagonal = rows["lo"][0] == rows["hi"][0]
         second = first if diagonal else np.flatnonzero(rows["block"] == rows["hi"][0])
+        _, own, members = np.unique(rows["component"], return_inverse=True, return_counts=True)
+        members = members[own]
         left, right = [], []
         for i in first:
             j = second[second > i] if diagonal else second
-            j = j[rows["component"][j] != rows["component"][i]]
-            if not len(j):
-                continue
-            a, b = np.full(len(j), rows["n"][i]), rows["n"][j]
-            j = j[np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9]
+            j = j[own[j] != own[i]]
+            j = j[np.minimum(rows["n"][j], rows["n"][i]) >= similarity * np.maximum(rows["n"][j], rows["n"][i]) - 1e-9]
             if not len(j):
                 continue
             same = rows["bands"][j] == rows["bands"][i]
-            equal = (same).mean(axis=1)
             earliest = same.reshape(len(j), BANDS, BAND).all(axis=2).argmax(axis=1) == rows["band"][0]
-            j = j[_hopeful(equal, np.full(len(j), rows["n"][i]), rows["n"][j], similarity) & earliest]
-            left.append(np.full(len(j), rows["rep"][i]))
-            right.append(rows["rep"][j])
-        join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        return join(left), join(right)
+            j = j[_hopeful(same.mean(axis=1), np.full(len(j), rows["n"][i]), rows["n"][j], similarity) & earliest]
+            swap = members[j] < members[i]
+            left.append(np.where(swap, j, i))
+            right.append(np.where(swap, i, j))
+        return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[dict[str, np.ndarray]] = []
-        names = ("band", "key", "lo", "hi", "block", "rep", "component", "n")
+        names = ("band", "key", "lo", "hi", "block", "part", "rep", "component", "n")
 
         def flush() -> pa.RecordBatch:
             whole = {k: np.concatenate([p[k] for p in kept]) for k in kept[0]}
             kept.clear()
-            a, b = pairs(whole)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            x, y = pairs(whole)
+            x, part, y = whole["rep"][x], whole["part"][y], whole["rep"][y]
+            order = np.lexsort((part, x))
+            x, part, y = x[order], part[order], y[order]
+            cuts = np.flatnonzero((x[1:] != x[:-1]) | (part[1:] != part[:-1])) + 1 if len(x) else np.empty(0, np.int64)
+            at = np.concatenate(([0], cuts)) if len(x) else cuts
+            lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(x)), pa.int32()), pa.array(y, pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(part[at], pa.int32()), pa.array(x[at], pa.int64()), lists], ["part", "x", "ys"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -210,6 +220,41 @@ def _tiles(similarity: float):
     return run
 
 
+def _compare(percent: int):
+    """Rows come sorted by part; in each part the sets to compare with (ys null), then entries with their ys.
+
+    Of an entry's links to one component the first is enough.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, sets = None, {}
+        for batch in batches:
+            a, b = [], []
+            for i in range(batch.num_rows):
+                if (now := batch.column("part")[i].as_py()) != part:
+                    part, sets = now, {}
+                x = np.frombuffer(batch.column("hashes")[i].as_buffer(), np.uint64)
+                ident = batch.column("x")[i].as_py()
+                ys = batch.column("ys")[i].as_py()
+                if ys is None:
+                    sets.setdefault(ident, []).append((batch.column("component")[i].as_py(), x.copy()))
+                    continue
+                done = set()
+                for y in ys:
+                    for component, other in sets[y]:
+                        if component in done:
+                            continue
+                        both = np.sort(np.concatenate((x, other)))
+                        common = int((both[1:] == both[:-1]).sum())
+                        if 100 * common >= percent * (len(x) + len(other) - common):
+                            done.add(component)
+                            a.append(ident)
+                            b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -261,22 +306,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .filter("low <> high")
         .select("band", "key")
     )
+    strays = durable(grouped.join(open_buckets, ["band", "key"]))
+    ids = strays.select("rep", "component").distinct()
+    parts = max(1, -(-ids.count() // PART))
     tiled = (
-        grouped.join(open_buckets, ["band", "key"])
-        .withColumn("blocks", F.ceil(F.col("members") / F.lit(TILE)).cast("int"))
+        strays.withColumn("blocks", F.ceil(F.col("members") / F.lit(TILE)).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("part", _part(F.col("rep"), parts))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("lo", F.least("block", "other"))
         .withColumn("hi", F.greatest("block", "other"))
         .join(sketches, "rep")
-        .select("band", "key", "lo", "hi", "block", "rep", "component", "n", "bands")
+        .select("band", "key", "lo", "hi", "block", "part", "rep", "component", "n", "bands")
         .repartition("band", "key", "lo", "hi")
         .sortWithinPartitions("band", "key", "lo", "hi")
     )
-    more = tiled.mapInArrow(_tiles(similarity), "a long, b long")
-    more = durable(more.join(screened, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_confirmed(more, docs, percent)), "a", "b")
+    hopeful = durable(tiled.mapInArrow(_tiles(similarity), "part int, x long, ys array<long>"))
+    if not hopeful.isEmpty():
+        sets = _hashed(docs, ids.select(F.col("rep").alias("doc_id")))
+        told = ids.join(sets, "rep").select(_part(F.col("rep"), parts).alias("part"), F.col("rep").alias("x"), F.lit(None).cast("array<long>").alias("ys"), "component", "hashes")
+        asked = hopeful.join(sets.withColumnRenamed("rep", "x"), "x").select("part", "x", "ys", F.lit(None).cast("long").alias("component"), "hashes")
+        compared = told.union(asked).repartition("part").sortWithinPartitions("part", F.col("ys").isNotNull())
+        more = compared.mapInArrow(_compare(percent), "a long, b long")
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
 
     member = classes.select("sig", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     member = member.select("sig", F.coalesce("component", "rep").alias("component"))
@@ -289,11 +341,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs of representatives that meet the similarity on their full sets."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    wanted = docs.join(ids, "doc_id").select("doc_id", "text")
-    sets = durable(wanted.mapInArrow(_sets, "rep long, hashes binary"))
+    sets = _hashed(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     return durable(
         pairs.join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b")
         .join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a")
         .mapInArrow(_confirm(percent), "a long, b long")
     )
+
+
+def _hashed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rep, hashes) for the documents of ``ids``."""
+    return durable(docs.join(ids, "doc_id").select("doc_id", "text").mapInArrow(_sets, "rep long, hashes binary"))
+
+
+def _part(rep: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(rep, F.lit(1)), F.lit(parts)).cast("int")
