@@ -13,7 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import durable, fresh
 
 _LAST = (1 << 63) - 1
 
@@ -47,8 +47,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         held = lines.groupBy("h1", "h2").agg(F.min("d").alias("first"), F.max("d").alias("last")).filter("first <> last")
     else:
         held = lines.groupBy("h1", "h2").agg(F.min("d").alias("first"), F.countDistinct("d").alias("n")).filter(F.col("n") >= min_docs)
+    # cut here, so that both sides of the join are plain shuffles and one hash's many lines can be split
     gone = (
-        lines.join(held.select("h1", "h2", "first"), ["h1", "h2"])
+        lines.join(durable(held.select("h1", "h2", "first")), ["h1", "h2"])
         .filter("d <> first")
         .groupBy(F.col("d").alias(ident), F.col("t").alias(digest))
         .agg(F.collect_set("p").alias(lost))
