@@ -1,6 +1,359 @@
-def queries():
-    return {}
+"""The registered queries on the driver's tables, each with the SQL that must give the same rows."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.aggregates import Agg
+from .functions.expressions import Ref
+from .functions.stats import column_stats
+from .operators.core import Aggregate, NoOp, Project, Select, StaticJoin, ThetaJoin
+from .operators.window import WindowSpec
+from .plans import batch
+from .plans.query import Application, Query
+
+HOUR, DAY = 3600, 86400
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def _register(sql: str):
+    def put(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _epoch(c: str):
+    """Seconds since 1970 of a wall-clock time, whatever the session's time zone."""
+    return F.unix_date(F.to_date(c)).cast("long") * DAY + F.hour(c) * HOUR + F.minute(c) * 60 + F.second(c).cast("long")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return df.select(_epoch("ts").alias("s"), "event_id", "user_id", "event_type", "value")
+
+
+def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return df.select(_epoch("l_shipdate").alias("s"), "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
+
+
+EV = "SELECT CAST(floor(epoch(ts)) AS BIGINT) AS s, event_id, user_id, event_type, value FROM events"
+LI = "SELECT CAST(floor(epoch(l_shipdate)) AS BIGINT) AS s, * FROM lineitem"
+
+
+def _range_sql(size: int, slide: int, aggs: str, keys: str = "", where: str = "true", source: str = EV, having: str = "true") -> str:
+    """Windows by expanding every row: the plain meaning of what panes compute."""
+    k = f"{keys}, " if keys else ""
+    return f"""
+WITH e AS (SELECT * FROM ({source}) WHERE {where}), b AS (SELECT min(s) AS lo, max(s) AS hi FROM e),
+w AS (SELECT unnest(range(((s - {size}) // {slide} + 1) * {slide}, (s // {slide}) * {slide} + 1, {slide})) AS window_start, * FROM e),
+o AS (SELECT window_start, window_start + {size} AS window_end, {k}{aggs} FROM w, b
+  WHERE window_start >= (lo // {slide}) * {slide} AND window_start + {size} <= hi GROUP BY window_start{', ' + keys if keys else ''})
+SELECT * FROM o WHERE {having}"""
+
+
+def _rows_sql(size: int, slide: int, aggs: str, keys: str = "", where: str = "true", source: str = EV, order: str = "s, event_id") -> str:
+    k, g = (f"{keys}, ", f", {keys}") if keys else ("", "")
+    return f"""
+WITH e AS (SELECT row_number() OVER (ORDER BY {order}) - 1 AS rn, * FROM ({source})), n AS (SELECT count(*) AS n FROM e),
+w AS (SELECT unnest(range(greatest(0, CAST(floor((rn - {size}) / {slide}.0) AS BIGINT) + 1), rn // {slide} + 1)) AS window_id, * FROM e),
+t AS (SELECT window_id, max(s) AS max_ts FROM w GROUP BY window_id),
+u AS (SELECT window_id, {k}{'max(s) AS max_ts, ' if keys else ''}{aggs} , count(*) FILTER (WHERE {where}) AS passing FROM w, n WHERE window_id * {slide} + {size} <= n.n GROUP BY window_id{g})
+SELECT u.* EXCLUDE (passing){'' if keys else ', t.max_ts'} FROM u JOIN t USING (window_id) {'WHERE passing > 0' if keys else ''}"""
+
+
+def _sum(c: str, name: str) -> str:
+    return f"CAST(sum(CAST({c} AS DECIMAL(18,6))) AS DOUBLE) AS {name}"
+
+
+def _avg(c: str, name: str) -> str:
+    return f"CAST(sum(CAST({c} AS DECIMAL(18,6))) AS DOUBLE) / count({c}) AS {name}"
+
+
+SUM, CNT = Agg("sum", "value", "total", exact=True), Agg("cnt", None, "n")
+AVG, MIN, MAX = Agg("avg", "value", "mean", exact=True), Agg("min", "value", "low"), Agg("max", "value", "high")
+TYPE, USER = ("event_type", "event_type"), ("user_id", "user_id")
+
+
+# --- stateless operators
+
+
+@_register(f"SELECT * FROM ({EV}) WHERE event_type = 'click'")
+def selection_eq(spark, sf_dir):
+    return batch.lower(Select(Ref("event_type") == "click"), events(spark, sf_dir))
+
+
+@_register(f"SELECT * FROM ({EV}) WHERE (user_id < 40 AND value >= 10.0) OR event_type <> 'view' AND user_id > 100 AND value <= 50.0")
+def selection_and_or(spark, sf_dir):
+    low = (Ref("user_id") < 40) & (Ref("value") >= 10.0)
+    high = ((Ref("event_type") != "view") & (Ref("user_id") > 100)) & (Ref("value") <= 50.0)
+    return batch.lower(Select(low | high), events(spark, sf_dir))
+
+
+@_register(f"SELECT s, (event_id // 7) - user_id * (5 + 3) AS a, CAST(-user_id AS BIGINT) AS b, -(user_id // 2) AS c, value * 2.0 AS d, value / 4.0 AS e FROM ({EV})")
+def projection_arith(spark, sf_dir):
+    e, u, v = Ref("event_id"), Ref("user_id"), Ref("value")
+    five = Ref("user_id") * 0 + 5
+    cols = [("a", e / 7 - u * (five + 3)), ("b", u * -1), ("c", (u * -1) / 2), ("d", v * 2.0), ("e", v / 4.0)]
+    return batch.lower(Project(cols), events(spark, sf_dir))
+
+
+@_register(f"SELECT s, user_id AS u, value + 1.0 AS v FROM ({EV}) WHERE user_id = 3")
+def filter_project(spark, sf_dir):
+    q = Query(1, [Select(Ref(2) == 3), NoOp(), Project([("u", Ref(2)), ("v", Ref("value") + 1.0)])])
+    return q.lower(events(spark, sf_dir))
+
+
+# --- windows of rows
+
+
+def _rows(spark, sf_dir, size, slide, aggs, **more):
+    return batch.lower(Aggregate(WindowSpec.rows(size, slide), aggs, order=("event_id",), **more), events(spark, sf_dir))
+
+
+@_register(_rows_sql(100, 100, _sum("value", "total")))
+def row_tumbling_sum(spark, sf_dir):
+    return _rows(spark, sf_dir, 100, 100, [SUM])
+
+
+@_register(_rows_sql(250, 100, f"{_sum('value', 'total')}, min(value) AS low, max(value) AS high, {_avg('value', 'mean')}, count(*) AS n"))
+def row_sliding_sum(spark, sf_dir):
+    return _rows(spark, sf_dir, 250, 100, [SUM, MIN, MAX, AVG, CNT])
+
+
+@_register(_rows_sql(128, 128, "count(*) AS n, max(value) AS high", "event_type"))
+def row_tumbling_grouped(spark, sf_dir):
+    return _rows(spark, sf_dir, 128, 128, [CNT, MAX], keys=[TYPE])
+
+
+@_register(_rows_sql(200, 50, f"CAST(sum(CAST(value AS DECIMAL(18,6))) FILTER (WHERE user_id < 75) AS DOUBLE) AS total, count(*) FILTER (WHERE user_id < 75) AS n", "event_type", "user_id < 75"))
+def row_sliding_filtered(spark, sf_dir):
+    return _rows(spark, sf_dir, 200, 50, [SUM, CNT], keys=[TYPE], where=Ref("user_id") < 75)
+
+
+# --- windows of time
+
+
+def _range(spark, sf_dir, size, slide, aggs, **more):
+    return batch.lower(Aggregate(WindowSpec.range(size, slide), aggs, **more), events(spark, sf_dir))
+
+
+_ALL = f"{_sum('value', 'total')}, count(*) AS n, {_avg('value', 'mean')}, min(value) AS low, max(value) AS high"
+
+
+@_register(_range_sql(6 * HOUR, 6 * HOUR, _ALL))
+def range_tumbling_all(spark, sf_dir):
+    return _range(spark, sf_dir, 6 * HOUR, 6 * HOUR, [SUM, CNT, AVG, MIN, MAX])
+
+
+@_register(_range_sql(6 * HOUR, 4 * HOUR, _ALL, "event_type"))
+def range_sliding_all(spark, sf_dir):
+    """Slide between half the size and the size, and no divisor of it."""
+    return _range(spark, sf_dir, 6 * HOUR, 4 * HOUR, [SUM, CNT, AVG, MIN, MAX], keys=[TYPE])
+
+
+@_register(_range_sql(12 * HOUR, 3 * HOUR, "CAST(sum(CAST(value * user_id AS DECIMAL(18,6))) AS DOUBLE) / CAST(sum(CAST(user_id AS DECIMAL(18,6))) AS DOUBLE) AS weighted", "event_type"))
+def range_sliding_w_avg(spark, sf_dir):
+    return _range(spark, sf_dir, 12 * HOUR, 3 * HOUR, [Agg("w_avg", "value", "weighted", weight="user_id", exact=True)], keys=[TYPE])
+
+
+@_register(_range_sql(6 * HOUR, HOUR, _sum("value", "total"), "event_type"))
+def range_sliding_sum_grouped(spark, sf_dir):
+    """CM1: a sum per category."""
+    return _range(spark, sf_dir, 6 * HOUR, HOUR, [SUM], keys=[TYPE])
+
+
+@_register(_range_sql(6 * HOUR, HOUR, _sum("value", "total"), "user_id", "event_type = 'click'"))
+def range_sliding_filter_grouped(spark, sf_dir):
+    """CM2: the same per job, for one type of event."""
+    return _range(spark, sf_dir, 6 * HOUR, HOUR, [SUM], keys=[USER], where=Ref("event_type") == "click")
+
+
+@_register(_range_sql(60 * HOUR, 600, _avg("value", "mean")))
+def range_sliding_avg_global(spark, sf_dir):
+    """SG1: one average, windows of 360 slides, by a frame over panes."""
+    return _range(spark, sf_dir, 60 * HOUR, 600, [AVG])
+
+
+@_register(_range_sql(48 * HOUR, HOUR, f"{_avg('value', 'mean')}, max(value) AS high", "event_type"))
+def range_sliding_frame_grouped(spark, sf_dir):
+    return _range(spark, sf_dir, 48 * HOUR, HOUR, [AVG, MAX], keys=[TYPE])
+
+
+_MULTI = f"SELECT s, value, event_type, user_id % 5 AS household, user_id // 50 AS house FROM ({EV})"
+
+
+@_register(_range_sql(12 * HOUR, HOUR, _avg("value", "mean"), "event_type, household, house", source=_MULTI))
+def range_sliding_avg_multi_key(spark, sf_dir):
+    """SG2: an average per three keys, one of them computed by integer division."""
+    u = lambda df: F.pmod("user_id", F.lit(5))
+    return _range(spark, sf_dir, 12 * HOUR, HOUR, [AVG], keys=[TYPE, ("household", u), ("house", Ref("user_id") / 50)])
+
+
+@_register(
+    f"""WITH g AS ({_range_sql(12 * HOUR, HOUR, _avg('value', 'mean'))}),
+l AS ({_range_sql(12 * HOUR, HOUR, _avg('value', 'local_mean') + ', count(*) AS n', 'event_type')})
+SELECT g.window_start, g.window_end, g.mean, l.window_start AS r_window_start, l.window_end AS r_window_end, l.event_type, l.local_mean, l.n
+FROM g JOIN l ON g.window_start = l.window_start WHERE g.mean < l.local_mean"""
+)
+def local_over_global_join(spark, sf_dir):
+    """SG3: windows whose local average is above the global one, as a graph of three queries."""
+    w = WindowSpec.range(12 * HOUR, HOUR)
+    whole, local = Query(1, [Aggregate(w, [AVG])]), Query(2, [Aggregate(w, [Agg("avg", "value", "local_mean", exact=True), CNT], [TYPE])])
+    at_once = ThetaJoin(WindowSpec("range", 1, 1), WindowSpec("range", 1, 1), lambda left, r: (left("mean") < r("local_mean")) & (left("window_start") == r("window_start")))
+    meet = Query(3, [at_once])
+    whole.connect_to(meet)
+    local.connect_to(meet)
+    df = events(spark, sf_dir)
+    return Application([whole, local, meet]).run({1: (df,), 2: (df,)})[3]
+
+
+@_register(_range_sql(24 * HOUR, 2 * HOUR, _avg("value", "mean"), "event_type, segment", source=f"SELECT s, value, event_type, user_id // 10 AS segment FROM ({EV})", having="mean < 40"))
+def segment_speed_having(spark, sf_dir):
+    """LRB1: segments by integer division, HAVING on the average."""
+    return _range(spark, sf_dir, 24 * HOUR, 2 * HOUR, [AVG], keys=[TYPE, ("segment", Ref("user_id") / 10)], having=Ref("mean") < 40)
+
+
+_COUNTS = _range_sql(6 * HOUR, 3 * HOUR, "count(*) AS n", "event_type, segment", source=f"SELECT s, event_type, user_id // 10 AS segment FROM ({EV})")
+
+
+@_register(_rows_sql(64, 64, "count(*) AS m", "event_type", source=f"SELECT window_start AS s, event_type, segment, n FROM ({_COUNTS})", order="s, event_type, segment"))
+def cascade_count(spark, sf_dir):
+    """LRB2 and LRB3: counts per window of time, then counts over windows of those rows."""
+    first = Query(1, [Aggregate(WindowSpec.range(6 * HOUR, 3 * HOUR), [CNT], [TYPE, ("segment", Ref("user_id") / 10)])])
+    second = Query(2, [Aggregate(WindowSpec.rows(64), [Agg("cnt", None, "m")], [TYPE], order=("event_type", "segment"))])
+    first.connect_to(second)
+    return Application([first, second]).run({1: (events(spark, sf_dir),)})[2]
+
+
+@_register(_range_sql(60 * DAY, 30 * DAY, ", ".join(_avg(c, n) for c, n in (("l_quantity", "quantity"), ("l_extendedprice", "price"), ("l_discount", "discount"))), source=LI))
+def multi_avg(spark, sf_dir):
+    """ME1: three averages at once."""
+    aggs = [Agg("avg", c, n, exact=True) for c, n in (("l_quantity", "quantity"), ("l_extendedprice", "price"), ("l_discount", "discount"))]
+    return batch.lower(Aggregate(WindowSpec.range(60 * DAY, 30 * DAY), aggs), lineitem(spark, sf_dir))
+
+
+@_register(f"WITH c AS ({_range_sql(12 * HOUR, HOUR, 'count(*) AS n', 'user_id')}) SELECT * FROM c QUALIFY n = max(n) OVER (PARTITION BY window_start)")
+def hot_items(spark, sf_dir):
+    """NBQ5: the keys with the most rows of each window, ties kept."""
+    return _range(spark, sf_dir, 12 * HOUR, HOUR, [CNT], keys=[USER], arg_max="n")
+
+
+_YSB = f"SELECT s, c_mktsegment FROM ({EV}) JOIN customer ON c_custkey = user_id WHERE event_type = 'view'"
+
+
+@_register(_range_sql(12 * HOUR, 12 * HOUR, "count(*) AS n, max(s) AS latest", "c_mktsegment", source=_YSB))
+def campaign_count(spark, sf_dir):
+    """YSB: filter, join with a static table, count and latest time per campaign."""
+    table = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    q = Query(1, [
+        Select(Ref("event_type") == "view"),
+        StaticJoin(table, "user_id", "c_custkey", ("c_mktsegment",)),
+        Aggregate(WindowSpec.range(12 * HOUR), [CNT, Agg("max", "s", "latest")], [("c_mktsegment", "c_mktsegment")]),
+    ])
+    return q.lower(events(spark, sf_dir))
+
+
+# --- joins
+
+
+def _sides(spark, sf_dir):
+    df = events(spark, sf_dir).select("s", "event_id", "user_id", "event_type", "value")
+    return df.filter("event_type = 'click'").drop("event_type"), df.filter("event_type = 'view'").drop("event_type")
+
+
+_L, _R = (f"(SELECT s, event_id, user_id, value FROM ({EV}) WHERE event_type = '{t}')" for t in ("click", "view"))
+_BOTH = "l.s, l.event_id, l.user_id, l.value, r.s AS r_s, r.event_id AS r_event_id, r.user_id AS r_user_id, r.value AS r_value"
+
+
+def _theta(spark, sf_dir, w1, w2, predicate):
+    left, right = _sides(spark, sf_dir)
+    return batch.lower(ThetaJoin(w1, w2, predicate), left, right, "s")
+
+
+@_register(f"SELECT {_BOTH} FROM {_L} l JOIN {_R} r ON l.user_id = r.user_id AND l.s - r.s BETWEEN -7200 AND 3600")
+def theta_range_join(spark, sf_dir):
+    return _theta(spark, sf_dir, WindowSpec.range(7200), WindowSpec.range(3600), lambda a, b: a("user_id") == b("user_id"))
+
+
+@_register(f"SELECT {_BOTH} FROM {_L} l JOIN {_R} r ON l.value < r.value AND l.s - r.s BETWEEN -1800 AND 900")
+def theta_range_join_nonequi(spark, sf_dir):
+    return _theta(spark, sf_dir, WindowSpec.range(1800), WindowSpec.range(900), lambda a, b: a("value") < b("value"))
+
+
+@_register(f"SELECT {_BOTH} FROM {_L} l JOIN {_R} r ON l.s - r.s BETWEEN -600 AND 600")
+def windowed_cross(spark, sf_dir):
+    return _theta(spark, sf_dir, WindowSpec.range(600), WindowSpec.range(600), None)
+
+
+def _theta_rows_sql(n1: int, n2: int, s1: int, s2: int, on: str) -> str:
+    bound = lambda c, n, s: f"{s} * greatest(0, CAST(ceil(({c} - {n}) / {s}.0) AS BIGINT))"
+    return f"""
+WITH u AS (SELECT 1 AS side, * FROM {_L} UNION ALL SELECT 0, * FROM {_R}),
+q AS (SELECT *, coalesce(sum(side) OVER w, 0) AS lc, coalesce(sum(1 - side) OVER w, 0) AS rc FROM u
+  WINDOW w AS (ORDER BY s, side, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT * FROM q WHERE side = 1), r AS (SELECT * FROM q WHERE side = 0)
+SELECT {_BOTH} FROM l JOIN r ON {on} AND
+  (r.rc < l.rc AND r.rc >= {bound('l.rc', n2, s2)} OR l.lc < r.lc AND l.lc >= {bound('r.lc', n1, s1)})"""
+
+
+@_register(_theta_rows_sql(32, 48, 1, 1, "l.user_id = r.user_id"))
+def theta_row_join(spark, sf_dir):
+    return _theta(spark, sf_dir, WindowSpec("rows", 32, 1), WindowSpec("rows", 48, 1), lambda a, b: a("user_id") == b("user_id"))
+
+
+@_register(_theta_rows_sql(16, 16, 4, 8, "l.value < r.value"))
+def theta_row_join_slide(spark, sf_dir):
+    return _theta(spark, sf_dir, WindowSpec.rows(16, 4), WindowSpec.rows(16, 8), lambda a, b: a("value") < b("value"))
+
+
+# --- sessions, sharing, statistics
+
+
+@_register(
+    f"""WITH e AS ({EV}), m AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s, event_id) < 14400 THEN 0 ELSE 1 END AS fresh FROM e),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, event_id) AS k FROM m),
+o AS (SELECT min(s) AS window_start, max(s) + 14400 AS window_end, user_id, count(*) AS n, {_sum('value', 'total')} FROM g GROUP BY user_id, k)
+SELECT * FROM o WHERE window_end <= (SELECT max(s) FROM e)"""
+)
+def session_count(spark, sf_dir):
+    return batch.lower(Aggregate(WindowSpec.session(4 * HOUR), [CNT, SUM], [USER]), events(spark, sf_dir))
+
+
+@_register(" UNION ALL ".join(f"SELECT *, '{n}' AS query FROM ({_range_sql(z, d, _sum('value', 'total'), 'event_type')})" for n, z, d in (("hour", HOUR, HOUR), ("six", 6 * HOUR, 2 * HOUR), ("day", DAY, 6 * HOUR))))
+def multi_window_sum(spark, sf_dir):
+    windows = {"hour": WindowSpec.range(HOUR), "six": WindowSpec.range(6 * HOUR, 2 * HOUR), "day": WindowSpec.range(DAY, 6 * HOUR)}
+    return batch.multi_window(events(spark, sf_dir), "s", windows, [SUM], [TYPE])
+
+
+@_register(_range_sql(48 * HOUR, HOUR, f"{_sum('value', 'total')}, count(*) AS n", "event_type"))
+def pane_equivalence(spark, sf_dir):
+    """The frame over panes; the SQL expands every row."""
+    return _range(spark, sf_dir, 48 * HOUR, HOUR, [SUM, CNT], keys=[TYPE], lowering="frame")
+
+
+@_register(
+    f"""WITH e AS (SELECT row_number() OVER (ORDER BY s, event_id) AS rn, * FROM ({EV})),
+p AS ({' UNION ALL '.join(f"SELECT '{c}' AS name, {c} AS v, rn FROM e" for c in ('s', 'event_id', 'user_id'))}),
+r AS (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY name ORDER BY rn) THEN 0 ELSE 1 END AS run FROM p)
+SELECT name, count(*) AS n, count(DISTINCT v) AS n_distinct, CAST(min(v) AS DOUBLE) AS low, CAST(max(v) AS DOUBLE) AS high, CAST(sum(run) AS BIGINT) AS runs,
+  count(*) >= 5 * sum(run) AS rle FROM r GROUP BY name"""
+)
+def column_statistics(spark, sf_dir):
+    return column_stats(events(spark, sf_dir), ["s", "event_id"], ["s", "event_id", "user_id"]).select("name", "n", "n_distinct", "low", "high", "runs", "rle")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
