@@ -75,11 +75,18 @@ def roll_up(panes: DataFrame, w: WindowSpec, aggs: list[Agg], keys: list[str], e
 
     ``end`` says up to where time has come; by default that is the largest time seen.
     """
-    bounds = panes.agg(F.min("_pane").alias("_min"), (end if end is not None else F.max("_last")).alias("_max"))
-    merged = reduce(lambda a, b: a | b, (a.merged() for a in aggs), {}) | {"_rows": F.sum("_rows")} | (extra or {})
+    merged = reduce(lambda a, b: a | b, (a.merged() for a in aggs), {}) | {"_seen": F.max("_last")} | (extra or {})
     regular = w.pane == w.slide
     if lowering == "auto":
         lowering = "frame" if regular and w.size // w.slide >= FRAME_FROM else "explode"
+    if lowering == "frame":
+        panes = durable(panes)  # it is read three times
+    if lowering == "frame" or extra:
+        merged["_rows"] = F.sum("_rows")
+    # every state is named in both uses of the panes, so that their shuffles are the same and Spark makes one
+    unused = {"_pane", "_last", *keys} | ({"_rows"} if "_rows" not in merged else set())
+    latest = F.max(F.struct("_last", *[c for c in panes.columns if c not in unused]))["_last"]
+    bounds = panes.agg(F.min("_pane").alias("_min"), (end if end is not None else latest).alias("_max"))
     if lowering == "frame":
         if not regular:
             raise ValueError("a frame needs a size that is a multiple of the slide")
@@ -101,7 +108,7 @@ def roll_up(panes: DataFrame, w: WindowSpec, aggs: list[Agg], keys: list[str], e
             spread = spread.withColumn("window_start", F.col("_pane"))
         out = spread.groupBy("window_start", *keys).agg(*[c.alias(n) for n, c in merged.items()])
     # one row: where the first window may start and how far time has come
-    out = out.join(F.broadcast(bounds)).filter(F.col("window_start") >= F.floor(F.col("_min") / F.lit(w.slide)) * w.slide)
+    out = out.join(F.broadcast(bounds)).filter((F.col("_seen") <= F.col("_max")) & (F.col("window_start") >= F.floor(F.col("_min") / F.lit(w.slide)) * w.slide))
     if not emit_open:
         out = out.filter(F.col("window_start") + w.size <= F.col("_max"))
     more = [F.col(n) for n in (extra or {})]
