@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Code points scanned at a time; a longer text is scanned alone.
 SCAN = 1 << 19
-CACHE = 1_000_000
+CACHE = 500_000
 
 
 @functools.cache
