@@ -65,7 +65,10 @@ def vector(text: str) -> np.ndarray | None:
     at, n = counts(text)
     if not len(at):
         return None
-    return n.astype(np.float32) @ _trigrams()[at].astype(np.float32)
+    out, n = np.zeros(DIMENSIONS, np.float32), n.astype(np.float32)
+    for i in range(0, len(at), 1024):  # so that a long text needs no more memory than a short one
+        out += n[i : i + 1024] @ _trigrams()[at[i : i + 1024]].astype(np.float32)
+    return out
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
