@@ -23,12 +23,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that an earlier document holds; a document that loses all its lines goes.
+    """Drops lines that an earlier document holds; a document that is left with white space alone goes.
 
-    A document without a word to begin with keeps its place.
+    A document that loses no line keeps its place, whatever it holds.
     """
     rows = lines.dedup_lines(docs)
-    empty = (F.length(F.trim("kept_text")) == 0) & (F.col("n_dropped") > 0)
+    empty = (F.length(F.btrim(F.col("kept_text"), F.lit(" \t\n\x0b\x0c\r"))) == 0) & (F.col("n_dropped") > 0)
     return rows.filter(~empty).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
