@@ -14,7 +14,7 @@ def test_stages_take_effect(spark, docs, rows):
             want = {i: t for i, t in want.items() if any(c.isalpha() for c in t or "")}
         elif name == "line_dedup":
             own = [(i, t) for i, t in sorted(want.items())]
-            want = {i: t for (i, t, _, gone), _ in dedup(own).items() if t.strip(" ") or not gone}
+            want = {i: t for (i, t, _, gone), _ in dedup(own).items() if t.strip(" \t\n\x0b\x0c\r") or not gone}
         elif name == "near_dedup":
             sets = {i: shingles(t) for i, t in want.items()}
             links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
