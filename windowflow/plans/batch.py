@@ -1,8 +1,9 @@
 """Operators on bounded streams (batch DataFrames).
 
 Windows are aggregated in two steps: rows into panes of gcd(size, slide), once, and panes into windows. Where
-a window has many panes, a frame over a dense calendar of panes does the second step, so the work
-per pane doesn't grow with size / slide. Windows of rows are windows of time over row numbers, which are
+a window has many panes, a frame over panes does the second step, so the work per pane doesn't grow with
+size / slide. Frames are cut into stretches as long as a window, so no task holds a key's (or an
+ungrouped stream's) whole time, and a key costs nothing where it has no rows. Windows of rows are windows of time over row numbers, which are
 made by a range partitioning and counts per partition instead of one global sort.
 """
 
@@ -80,7 +81,7 @@ def roll_up(panes: DataFrame, w: WindowSpec, aggs: list[Agg], keys: list[str], e
     if lowering == "auto":
         lowering = "frame" if regular and w.size // w.slide >= FRAME_FROM else "explode"
     if lowering == "frame":
-        panes = durable(panes)  # it is read three times
+        panes = durable(panes)  # they are read three times
     if lowering == "frame" or extra:
         merged["_rows"] = F.sum("_rows")
     # every state is named in both uses of the panes, so that their shuffles are the same and Spark makes one
@@ -90,16 +91,18 @@ def roll_up(panes: DataFrame, w: WindowSpec, aggs: list[Agg], keys: list[str], e
     if lowering == "frame":
         if not regular:
             raise ValueError("a frame needs a size that is a multiple of the slide")
-        calendar = bounds.select(F.explode(F.sequence(F.col("_min"), F.col("_max"), F.lit(w.slide))).alias("_pane"))
-        if keys:
-            have = panes.select(*keys).distinct()
-            calendar = have.join(F.broadcast(calendar))  # a calendar has one row per slide
-        calendar = calendar.select(F.col("_pane").alias("_at"), *[F.col(k).alias(f"_k_{k}") for k in keys])
-        same = [F.col("_at") == F.col("_pane"), *[F.col(f"_k_{k}").eqNullSafe(F.col(k)) for k in keys]]
+        # a stretch is one window long, so a window reaches into one more: panes visit their own and the one before
+        own = F.floor(F.col("_pane") / F.lit(w.size)).cast("long")
         states = [c for c in panes.columns if c != "_pane" and c not in keys]
-        dense = calendar.join(panes, same, "left").select(F.col("_at").alias("_pane"), *[F.col(f"_k_{k}").alias(k) for k in keys], *states)
-        frame = Window.partitionBy(*keys).orderBy("_pane").rangeBetween(0, w.size - w.pane)
-        out = dense.select(F.col("_pane").alias("window_start"), *keys, *[c.over(frame).alias(n) for n, c in merged.items()]).filter(F.col("_rows") > 0)
+        visits = F.when(F.col("_pane") - own * w.size < w.size - w.pane, F.array(own - 1, own)).otherwise(F.array(own))
+        placed = panes.select("*", F.explode(visits).alias("_stretch"), F.lit(False).alias("_start"))
+        starts = placed.select("_stretch", *keys).distinct().withColumn(
+            "_pane", F.explode(F.sequence(F.col("_stretch") * w.size, (F.col("_stretch") + 1) * w.size - w.slide, F.lit(w.slide).cast("long")))
+        )
+        starts = starts.select("_pane", *keys, *[F.lit(None).cast(panes.schema[c].dataType).alias(c) for c in states], "_stretch", F.lit(True).alias("_start"))
+        frame = Window.partitionBy("_stretch", *keys).orderBy("_pane").rangeBetween(0, w.size - w.pane)
+        out = placed.unionByName(starts).select(F.col("_pane").alias("window_start"), "_start", *keys, *[c.over(frame).alias(n) for n, c in merged.items()])
+        out = out.filter("_start AND _rows > 0").drop("_start")
     else:
         first = (F.floor((F.col("_pane") - w.size) / F.lit(w.slide)) + 1) * w.slide
         last = F.floor(F.col("_pane") / F.lit(w.slide)) * w.slide
