@@ -14,6 +14,8 @@ from .operators.core import Aggregate, NoOp, Project, Select, StaticJoin, ThetaJ
 from .operators.window import WindowSpec
 from .plans import batch
 from .plans.query import Application, Query
+from .sources import readers
+from .streaming.bounded import run_in_parts, run_to_end
 
 HOUR, DAY = 3600, 86400
 _QUERIES: dict[str, Callable] = {}
@@ -351,6 +353,92 @@ def column_statistics(spark, sf_dir):
     return column_stats(events(spark, sf_dir), ["s", "event_id"], ["s", "event_id", "user_id"]).select("name", "n", "n_distinct", "low", "high", "runs", "rle")
 
 
+# --- the same on streams: every row passes a file source, stateful operators with watermarks and a file sink
+
+
+def _first(df: DataFrame, slide: int) -> int | None:
+    """Where the first window may start: windows before it would be cut off by the stream's beginning."""
+    at = df.agg(F.min("s")).first()[0]
+    return None if at is None else at // slide * slide
+
+
+def _event_stream(spark, sf_dir) -> DataFrame:
+    return readers.table_stream(spark, sf_dir, "events.parquet").select(_epoch("ts").alias("s"), "event_id", "user_id", "event_type", "value")
+
+
+def _stream(spark, sf_dir, app: Application, origin: int | None = None) -> DataFrame:
+    df = _event_stream(spark, sf_dir)
+    return run_to_end(spark, app, {q.ident: (df,) * q.inputs for q in app.sources()}, origin)
+
+
+_SIX = WindowSpec.range(6 * HOUR, 3 * HOUR)
+
+
+@_register(f"SELECT s, user_id AS u, value * 2.0 AS v FROM ({EV}) WHERE event_type = 'click' AND value > 20.0")
+def stream_select_project(spark, sf_dir):
+    keep = Select((Ref("event_type") == "click") & (Ref("value") > 20.0))
+    return _stream(spark, sf_dir, Application([Query(1, [keep, Project([("u", Ref("user_id")), ("v", Ref("value") * 2.0)])])]))
+
+
+@_register(_range_sql(6 * HOUR, 3 * HOUR, _ALL, "event_type"))
+def stream_range_sliding(spark, sf_dir):
+    app = Application([Query(1, [Aggregate(_SIX, [SUM, CNT, AVG, MIN, MAX], [TYPE])])])
+    return _stream(spark, sf_dir, app, _first(events(spark, sf_dir), _SIX.slide))
+
+
+@_register(_range_sql(12 * HOUR, 12 * HOUR, _sum("value", "total"), "user_id", having="total > 150"))
+def stream_having(spark, sf_dir):
+    return _stream(spark, sf_dir, Application([Query(1, [Aggregate(WindowSpec.range(12 * HOUR), [SUM], [USER], having=Ref("total") > 150)])]))
+
+
+@_register(f"WITH c AS ({_range_sql(12 * HOUR, 6 * HOUR, 'count(*) AS n', 'user_id')}) SELECT * FROM c QUALIFY n = max(n) OVER (PARTITION BY window_start)")
+def stream_hot_items(spark, sf_dir):
+    app = Application([Query(1, [Aggregate(WindowSpec.range(12 * HOUR, 6 * HOUR), [CNT], [USER], arg_max="n")])])
+    return _stream(spark, sf_dir, app, _first(events(spark, sf_dir), 6 * HOUR))
+
+
+@_register(_range_sql(12 * HOUR, 12 * HOUR, "count(*) AS n", "c_mktsegment", source=_YSB))
+def stream_campaign_count(spark, sf_dir):
+    join = StaticJoin(spark.read.parquet(f"{sf_dir}/customer.parquet"), "user_id", "c_custkey", ("c_mktsegment",))
+    count = Aggregate(WindowSpec.range(12 * HOUR), [CNT], [("c_mktsegment", "c_mktsegment")])
+    return _stream(spark, sf_dir, Application([Query(1, [Select(Ref("event_type") == "view"), join, count])]))
+
+
+@_register(_rows_sql(128, 64, "count(*) AS n, max(value) AS high", "event_type"))
+def stream_row_windows(spark, sf_dir):
+    count = Aggregate(WindowSpec.rows(128, 64), [CNT, MAX], [TYPE], order=("event_id",))
+    return _stream(spark, sf_dir, Application([Query(1, [count])]))
+
+
+@_register(
+    f"""WITH e AS ({EV}), m AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s, event_id) < 14400 THEN 0 ELSE 1 END AS fresh FROM e),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, event_id) AS k FROM m),
+o AS (SELECT min(s) AS window_start, max(s) + 14400 AS window_end, user_id, count(*) AS n FROM g GROUP BY user_id, k)
+SELECT * FROM o WHERE window_end <= (SELECT max(s) FROM e)"""
+)
+def stream_sessions(spark, sf_dir):
+    return _stream(spark, sf_dir, Application([Query(1, [Aggregate(WindowSpec.session(4 * HOUR), [CNT], [USER])])]))
+
+
+@_register(f"SELECT {_BOTH} FROM {_L} l JOIN {_R} r ON l.user_id = r.user_id AND l.s - r.s BETWEEN -7200 AND 3600")
+def stream_theta_join(spark, sf_dir):
+    df = _event_stream(spark, sf_dir)
+    sides = tuple(df.filter(F.col("event_type") == t).drop("event_type") for t in ("click", "view"))
+    meet = ThetaJoin(WindowSpec.range(7200), WindowSpec.range(3600), lambda a, b: a("user_id") == b("user_id"))
+    return run_to_end(spark, Application([Query(1, [meet], time="s")]), {1: sides})
+
+
+@_register(_range_sql(6 * HOUR, 3 * HOUR, f"{_sum('value', 'total')}, count(*) AS n", "event_type"))
+def stream_recovery(spark, sf_dir):
+    """The events in three parts, each read by a new runtime that recovers windows from the one before."""
+    df = events(spark, sf_dir)
+    lo, hi = df.agg(F.min("s"), F.max("s")).first()
+    cuts = [] if lo is None else [lo + (hi - lo) * k // 3 for k in (1, 2)]
+    edges = [None, *cuts, None]
+    parts = [df.filter((F.col("s") >= a if a is not None else F.lit(True)) & (F.col("s") < b if b is not None else F.lit(True))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return run_in_parts(spark, lambda: Application([Query(1, [Aggregate(_SIX, [SUM, CNT], [TYPE])])]), parts, _first(df, _SIX.slide))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

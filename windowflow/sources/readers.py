@@ -26,6 +26,15 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, kind: str =
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).load(path)
 
 
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A stream of one Parquet table, which may be a file of the folder or a folder of files."""
+    table = spark.read.parquet(f"{folder}/{name}")
+    reader = spark.readStream.schema(table.schema)
+    if any(f.rstrip("/").endswith(f"/{name}") for f in table.inputFiles()):
+        return reader.option("pathGlobFilter", name).parquet(folder)  # a file source takes folders alone
+    return reader.parquet(f"{folder}/{name}")
+
+
 def socket_stream(spark: SparkSession, host: str, port: int, schema: str, sep: str = ",") -> DataFrame:
     """Lines of a TCP socket; for tests, as a socket can't be replayed."""
     lines = spark.readStream.format("socket").option("host", host).option("port", port).load()
