@@ -10,6 +10,7 @@ from windowflow.functions.stats import column_stats
 from windowflow.operators.core import Aggregate, Project, StaticJoin, ThetaJoin
 from windowflow.operators.window import WindowSpec
 from windowflow.plans import batch
+from windowflow.sources import generators
 
 SCHEMA = "t long, id long, k string, v double"
 AGGS = [Agg("sum", "v", "total"), Agg("cnt", None, "n"), Agg("min", "v", "low"), Agg("max", "v", "high"), Agg("avg", "v", "mean")]
@@ -97,6 +98,33 @@ def test_empty_input_and_static_join(spark):
     assert {(r.k, r.x) for r in rows} == {("a", 1)}
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_running_merges_over_sparse_keys_and_negative_times(spark, exact):
+    """Keys with holes longer than several windows; every aggregate; windows from panes of one slide."""
+    r = random.Random(11)
+    rows = sorted((r.choice((-500, -300, 0, 900)) + r.randint(0, 70), i, r.choice(("a", "b", None)), float(r.randint(-9, 9))) for i in range(150))
+    aggs = [Agg("sum", "v", "total", exact=exact), *AGGS[1:4], Agg("avg", "v", "mean", exact=exact)]
+    op = Aggregate(WindowSpec.range(60, 2), aggs, [("k", "k")], lowering="frame")
+    got = {(x.window_start, x.k): (x.total, x.n, x.low, x.high, x["mean"]) for x in batch.lower(op, spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = expected_range(rows, 60, 2, True)
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_frame_needs_whole_slides(spark):
+    with pytest.raises(ValueError):
+        batch.lower(Aggregate(WindowSpec.range(10, 4), AGGS, lowering="frame"), spark.createDataFrame(stream(), SCHEMA))
+
+
+def test_generated_values_are_those_of_the_sql(spark):
+    import duckdb
+
+    want = duckdb.sql(f"SELECT {generators.pick_sql(7, 640, 3)} FROM (SELECT range * 99991 AS id FROM range(2000))").fetchall()
+    got = spark.range(0, 2000 * 99991, 99991).select(generators.pick(7, 640, 3)).collect()
+    assert [tuple(x) for x in got] == want
+    assert len(set(want)) > 500
+
+
 def test_numbers_follow_the_order(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("t"))
     rows, _ = batch.numbered(df, ["t"], parts=7)

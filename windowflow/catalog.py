@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .apps import benchmarks
 from .functions.aggregates import Agg
 from .functions.expressions import Ref
 from .functions.stats import column_stats
@@ -15,6 +16,7 @@ from .operators.window import WindowSpec
 from .plans import batch
 from .plans.query import Application, Query
 from .sources import readers
+from .sources.generators import pick_sql
 from .streaming.bounded import run_in_parts, run_to_end
 
 HOUR, DAY = 3600, 86400
@@ -56,7 +58,7 @@ def _range_sql(size: int, slide: int, aggs: str, keys: str = "", where: str = "t
     k = f"{keys}, " if keys else ""
     return f"""
 WITH e AS (SELECT * FROM ({source}) WHERE {where}), b AS (SELECT min(s) AS lo, max(s) AS hi FROM e),
-w AS (SELECT unnest(range(((s - {size}) // {slide} + 1) * {slide}, (s // {slide}) * {slide} + 1, {slide})) AS window_start, * FROM e),
+w AS (SELECT unnest(range((CAST(floor((s - {size}) / {slide}.0) AS BIGINT) + 1) * {slide}, (s // {slide}) * {slide} + 1, {slide})) AS window_start, * FROM e),
 o AS (SELECT window_start, window_start + {size} AS window_end, {k}{aggs} FROM w, b
   WHERE window_start >= (lo // {slide}) * {slide} AND window_start + {size} <= hi GROUP BY window_start{', ' + keys if keys else ''})
 SELECT * FROM o WHERE {having}"""
@@ -353,6 +355,69 @@ def column_statistics(spark, sf_dir):
     return column_stats(events(spark, sf_dir), ["s", "event_id"], ["s", "event_id", "user_id"]).select("name", "n", "n_distinct", "low", "high", "runs", "rle")
 
 
+# --- the benchmark applications on generated rows
+
+
+def _generated(rows: int, columns: str, where: str = "true", at: str = "id // 100") -> str:
+    return f"SELECT {at} AS s, {columns} FROM (SELECT range AS id FROM range({rows})) WHERE {where}"
+
+
+def _long_sql(size: int, source: str, keys: str = "") -> str:
+    """Averages over windows much longer than the stream has closed ones, at a slide of 1."""
+    k = f", {keys}" if keys else ""
+    return f"""WITH e AS ({source}), b AS (SELECT min(s) AS lo, max(s) AS hi FROM e),
+w AS (SELECT unnest(range(lo, hi - {size} + 1)) AS window_start FROM b)
+SELECT window_start, window_start + {size} AS window_end{k}, sum(value) / count(*) AS mean FROM w JOIN e ON s >= window_start AND s < window_start + {size} GROUP BY window_start{k}"""
+
+
+def _app(name: str, rows: int, sql: str) -> None:
+    def run(spark, sf_dir):
+        return benchmarks.run(spark, name, rows)
+
+    run.__name__ = f"app_{name}"
+    _register(sql)(run)
+
+
+_CM = _generated(40_000, f"CAST({pick_sql(6, 4)} AS INTEGER) AS category, {pick_sql(1, 500)} AS jobId, {pick_sql(4, 9)} AS kind, {pick_sql(8, 1024)} / 1024.0::DOUBLE AS cpu")
+_app("cm1", 40_000, _range_sql(60, 1, "sum(cpu) AS cpu", "category", source=_CM))
+_app("cm2", 40_000, _range_sql(60, 1, "sum(cpu) AS cpu", "jobId", "kind = 3", source=_CM))
+
+
+def _grid(rows: int) -> str:
+    keys = f"CAST({pick_sql(3, 10)} AS INTEGER) AS plug, CAST({pick_sql(4, 8)} AS INTEGER) AS household, CAST({pick_sql(5, 40)} AS INTEGER) AS house"
+    return _generated(rows, f"{pick_sql(1, 6400)} / 64.0::DOUBLE AS value, {keys}")
+
+
+_PLUG, _MEAN = "plug, household, house", "sum(value) / count(*) AS "
+_app("sg1", 370_000, _long_sql(3600, _grid(370_000)))
+_app("sg2", 16_000, _range_sql(128, 1, _MEAN + "mean", _PLUG, source=_grid(16_000)))
+_app("sg3_filtered", 370_000, _long_sql(3600, f"SELECT * FROM ({_grid(370_000)}) WHERE plug = 3", _PLUG))
+_app(
+    "sg3", 14_000,
+    f"""WITH g AS ({_range_sql(128, 1, _MEAN + "mean", source=_grid(14_000))}), l AS ({_range_sql(128, 1, _MEAN + "local_mean, count(*) AS n", _PLUG, source=_grid(14_000))})
+SELECT g.*, l.window_start AS r_window_start, l.window_end AS r_window_end, {_PLUG}, local_mean, n
+FROM g JOIN l ON g.window_start - l.window_start BETWEEN -1 AND 1 AND mean < local_mean""",
+)
+
+
+def _road(rows: int) -> str:
+    keys = f"CAST({pick_sql(1, 1000)} AS INTEGER) AS vehicle, CAST({pick_sql(3, 4)} AS INTEGER) AS highway, CAST({pick_sql(5, 2)} AS INTEGER) AS direction"
+    return _generated(rows, f"{keys}, {pick_sql(6, 528_000)} // 5280 AS segment, {pick_sql(2, 5120)} / 64.0::DOUBLE AS speed")
+
+
+_LRB2 = _range_sql(30, 1, "count(*) AS n", "vehicle, highway, direction, segment", source=_road(4000))
+_app("lrb1", 40_000, _range_sql(300, 1, "sum(speed) / count(*) AS mean", "highway, direction, segment", source=_road(40_000), having="mean < 40"))
+_app("lrb2", 4000, _LRB2)
+_app("lrb3", 4000, _rows_sql(1024, 1024, "count(*) AS m", "highway, direction, segment", source=f"SELECT window_start AS s, * FROM ({_LRB2})", order="s, vehicle, highway, direction, segment"))
+_MF = [(f"mf0{i}", pick_sql(i, 20_000)) for i in (1, 2, 3)]
+_app("me1", 40_000, _range_sql(60, 1, ", ".join(f"sum({c}) / count(*)::DOUBLE AS mean_{c}" for c, _ in _MF), source=_generated(40_000, ", ".join(f"{x} AS {c}" for c, x in _MF))))
+_BID = "(id // 3 * 50 + id % 3 + 1)"
+_LOT = f"({_BID} // 50 * 3 + id % 3 + 1000)"
+_AUCTION = _generated(40_000, f"CASE WHEN {pick_sql(1, 100)} < 90 THEN {_LOT} // 20 * 20 ELSE {_LOT} END AS id", at=f"{_BID} // 1000")
+_app("nbq5", 40_000, f"WITH c AS ({_range_sql(60, 1, 'count(*) AS n', 'id', source=_AUCTION)}) SELECT * FROM c QUALIFY n = max(n) OVER (PARTITION BY window_start)")
+_app("ysb", 250_000, _range_sql(100, 100, "count(*) AS n, max(s) AS latest", "campaign_id", source=_generated(250_000, "(id % 1000) // 10 AS campaign_id", "(id % 100000) % 3 = 0", "id // 1000")))
+
+
 # --- the same on streams: every row passes a file source, stateful operators with watermarks and a file sink
 
 

@@ -54,14 +54,17 @@ class Agg:
         w = as_column(self.weight, df)
         return {n: F.sum(where(self._number(x * w))), f"{n}_n": F.sum(where(self._number(w)))}
 
-    def merged(self) -> dict[str, Column]:
-        """State columns over states."""
-        how = self.kind if self.kind in ("min", "max") else "sum"
-        out = {f"_s_{self.name}": getattr(F, how)(f"_s_{self.name}")}
+    def states(self) -> dict[str, str]:
+        """State columns and the function (sum, min or max) that merges each."""
+        out = {f"_s_{self.name}": self.kind if self.kind in ("min", "max") else "sum"}
         if self.kind in ("avg", "w_avg"):
-            out[f"_s_{self.name}_n"] = F.sum(f"_s_{self.name}_n")
+            out[f"_s_{self.name}_n"] = "sum"
         return out
 
+    def merged(self) -> dict[str, Column]:
+        """State columns over states."""
+        return {n: getattr(F, how)(n) for n, how in self.states().items()}
+
     def result(self) -> Column:
         n = F.col(f"_s_{self.name}")
         if self.kind in ("avg", "w_avg"):
@@ -72,3 +75,10 @@ class Agg:
         elif self.kind == "sum" and self.exact:
             n = n.cast("double")
         return n.alias(self.name)
+
+
+def either(how: str, a: Column, b: Column) -> Column:
+    """Two states merged; null is the state of no rows."""
+    if how == "sum":
+        return F.coalesce(a + b, a, b)
+    return F.least(a, b) if how == "min" else F.greatest(a, b)

@@ -1,8 +1,8 @@
 """Operators on bounded streams (batch DataFrames).
 
 Windows are aggregated in two steps: rows into panes of gcd(size, slide), once, and panes into windows. Where
-a window has many panes, a frame over panes does the second step, so the work per pane doesn't grow with
-size / slide. Frames are cut into stretches as long as a window, so no task holds a key's (or an
+a window has many panes, running merges over panes do the second step, so the work per pane doesn't grow with
+size / slide. They work on stretches of time as long as a window, so no task holds a key's (or an
 ungrouped stream's) whole time, and a key costs nothing where it has no rows. Windows of rows are windows of time over row numbers, which are
 made by a range partitioning and counts per partition instead of one global sort.
 """
@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import Agg
+from ..functions.aggregates import Agg, either
 from ..functions.expressions import as_column
 from ..operators.core import Aggregate, NoOp, Project, Select, StaticJoin, ThetaJoin
 from ..operators.window import WindowSpec
@@ -91,18 +91,8 @@ def roll_up(panes: DataFrame, w: WindowSpec, aggs: list[Agg], keys: list[str], e
     if lowering == "frame":
         if not regular:
             raise ValueError("a frame needs a size that is a multiple of the slide")
-        # a stretch is one window long, so a window reaches into one more: panes visit their own and the one before
-        own = F.floor(F.col("_pane") / F.lit(w.size)).cast("long")
-        states = [c for c in panes.columns if c != "_pane" and c not in keys]
-        visits = F.when(F.col("_pane") - own * w.size < w.size - w.pane, F.array(own - 1, own)).otherwise(F.array(own))
-        placed = panes.select("*", F.explode(visits).alias("_stretch"), F.lit(False).alias("_start"))
-        starts = placed.select("_stretch", *keys).distinct().withColumn(
-            "_pane", F.explode(F.sequence(F.col("_stretch") * w.size, (F.col("_stretch") + 1) * w.size - w.slide, F.lit(w.slide).cast("long")))
-        )
-        starts = starts.select("_pane", *keys, *[F.lit(None).cast(panes.schema[c].dataType).alias(c) for c in states], "_stretch", F.lit(True).alias("_start"))
-        frame = Window.partitionBy("_stretch", *keys).orderBy("_pane").rangeBetween(0, w.size - w.pane)
-        out = placed.unionByName(starts).select(F.col("_pane").alias("window_start"), "_start", *keys, *[c.over(frame).alias(n) for n, c in merged.items()])
-        out = out.filter("_start AND _rows > 0").drop("_start")
+        out = _framed(panes, w, keys, reduce(lambda a, b: a | b, (a.states() for a in aggs), {}) | {"_last": "max", "_rows": "sum"})
+        out = out.withColumnRenamed("_last", "_seen")
     else:
         first = (F.floor((F.col("_pane") - w.size) / F.lit(w.slide)) + 1) * w.slide
         last = F.floor(F.col("_pane") / F.lit(w.slide)) * w.slide
@@ -119,6 +109,39 @@ def roll_up(panes: DataFrame, w: WindowSpec, aggs: list[Agg], keys: list[str], e
     return out.select("window_start", (F.col("window_start") + w.size).alias("window_end"), *keys, *[a.result() for a in aggs], *more, *rows)
 
 
+def _framed(panes: DataFrame, w: WindowSpec, keys: list[str], states: dict[str, str]) -> DataFrame:
+    """window_start, keys and merged states by running merges; the size is a multiple of the slide, a pane.
+
+    Time is cut into stretches one window long. A window that starts in a stretch holds the end of it and
+    the beginning of the next one, so a running merge backwards over the one and one forwards over
+    the other give every window, for any aggregate, at a constant cost per pane and start. Spark's
+    sliding frames instead merge a whole window again for every row.
+    """
+    own = F.floor(F.col("_pane") / F.lit(w.size)).cast("long")
+    first = F.col("_pane") - w.size + w.pane  # the first start whose window holds the pane
+    visits = F.array(F.struct(own.alias("stretch"), F.col("_pane").alias("at"), F.lit(True).alias("own")))
+    earlier = F.struct((own - 1).alias("stretch"), first.alias("at"), F.lit(False).alias("own"))
+    visits = F.when(first < own * w.size, F.array_append(visits, earlier)).otherwise(visits)
+    placed = panes.select(*keys, *states, F.explode(visits).alias("_v")).select(
+        *keys, F.col("_v.stretch").alias("_stretch"), F.col("_v.at").alias("_at"), F.lit(False).alias("_start"),
+        *[F.when(F.col("_v.own"), F.col(c)).alias(f"_a{c}") for c in states], *[F.when(~F.col("_v.own"), F.col(c)).alias(f"_b{c}") for c in states],
+    )
+    starts = placed.select(*keys, "_stretch").distinct().withColumn(
+        "_at", F.explode(F.sequence(F.col("_stretch") * w.size, (F.col("_stretch") + 1) * w.size - w.slide, F.lit(w.slide).cast("long")))
+    )
+    none = [F.lit(None).cast(panes.schema[c].dataType) for c in states]
+    starts = starts.select(*keys, "_stretch", "_at", F.lit(True).alias("_start"), *[x.alias(f"{side}{c}") for side in ("_a", "_b") for c, x in zip(states, none, strict=True)])
+    part = Window.partitionBy(*keys, "_stretch")
+    back = part.orderBy(F.col("_at").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = part.orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = placed.unionByName(starts).select(
+        "_at", "_start", *keys,
+        *[getattr(F, how)(f"{side}{c}").over(frame).alias(f"{side}{c}") for side, frame in (("_a", back), ("_b", ahead)) for c, how in states.items()],
+    ).filter("_start")
+    out = merged.select(F.col("_at").alias("window_start"), *keys, *[either(how, F.col(f"_a{c}"), F.col(f"_b{c}")).alias(c) for c, how in states.items()])
+    return out.filter("_rows > 0")
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "_rn", parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with their number from 0 in the stream's order, first numbers per partition).
 

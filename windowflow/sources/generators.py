@@ -1,6 +1,7 @@
 """Deterministic streams with the schemas of the usual stream benchmarks.
 
-A value is a hash of the row's number and the column's, so rows don't depend on partitioning.
+A value is a hash of the row's number and the column's, so rows don't depend on partitioning. The hash is plain
+integer arithmetic that any SQL engine can repeat, and fractions are binary, so that their sums are exact in any order.
 """
 
 from __future__ import annotations
@@ -9,13 +10,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_P = 2**31 - 1
+
+
 def pick(salt: int, n: int, first: int = 0) -> Column:
     """A uniform integer from ``first``, ``n`` values wide."""
-    return F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(n)) + first
+    h = (F.col("id") % _P * 48271 + salt * 69621 + 1) % _P
+    return (h * h % _P * 16807 + h) % _P % n + first
+
+
+def pick_sql(salt: int, n: int, first: int = 0) -> str:
+    """``pick`` in SQL."""
+    h = f"((id % {_P} * 48271 + {salt * 69621 + 1}) % {_P})"
+    return f"(({h} * {h} % {_P} * 16807 + {h}) % {_P} % {n} + {first})"
 
 
-def share(salt: int) -> Column:
-    return pick(salt, 1_000_000) / 1e6
+def share(salt: int, below: int = 1, parts: int = 1024) -> Column:
+    """A uniform fraction from 0 to ``below`` in steps of 1 / ``parts``, a power of two."""
+    return pick(salt, below * parts) / float(parts)
 
 
 def _rows(spark: SparkSession, n: int, **columns: Column) -> DataFrame:
@@ -36,14 +48,14 @@ def cluster_monitoring(spark: SparkSession, n: int, per_second: int = 100) -> Da
 
 def smart_grid(spark: SparkSession, n: int, per_second: int = 100) -> DataFrame:
     return _rows(
-        spark, n, timestamp=F.floor(F.col("id") / per_second).cast("long"), value=(share(1) * 100).cast("float"), property=pick(2, 2).cast("int"),
+        spark, n, timestamp=F.floor(F.col("id") / per_second).cast("long"), value=share(1, 100, 64).cast("float"), property=pick(2, 2).cast("int"),
         plug=pick(3, 10).cast("int"), household=pick(4, 8).cast("int"), house=pick(5, 40).cast("int"), padding=F.lit(0),
     )
 
 
 def linear_road(spark: SparkSession, n: int, per_second: int = 100) -> DataFrame:
     return _rows(
-        spark, n, timestamp=F.floor(F.col("id") / per_second).cast("long"), vehicle=pick(1, 1000).cast("int"), speed=(share(2) * 80).cast("float"),
+        spark, n, timestamp=F.floor(F.col("id") / per_second).cast("long"), vehicle=pick(1, 1000).cast("int"), speed=share(2, 80, 64).cast("float"),
         highway=pick(3, 4).cast("int"), lane=pick(4, 5).cast("int"), direction=pick(5, 2).cast("int"), position=pick(6, 528_000).cast("int"),
     )
 
