@@ -189,7 +189,7 @@ def range_sliding_avg_global(spark, sf_dir):
 
 @_register(_range_sql(48 * HOUR, HOUR, f"{_avg('value', 'mean')}, max(value) AS high", "event_type"))
 def range_sliding_frame_grouped(spark, sf_dir):
-    return _range(spark, sf_dir, 48 * HOUR, HOUR, [AVG, MAX], keys=[TYPE])
+    return _range(spark, sf_dir, 48 * HOUR, HOUR, [AVG, MAX], keys=[TYPE], lowering="frame")
 
 
 _MULTI = f"SELECT s, value, event_type, user_id % 5 AS household, user_id // 50 AS house FROM ({EV})"

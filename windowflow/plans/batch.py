@@ -21,8 +21,8 @@ from ..operators.core import Aggregate, NoOp, Project, Select, StaticJoin, Theta
 from ..operators.window import WindowSpec
 from .durable import durable
 
-#: Windows per pane from which the frame is used.
-FRAME_FROM = 48
+#: Windows per pane from which running merges are used.
+FRAME_FROM = 256
 
 
 def lower(op, df: DataFrame, right: DataFrame | None = None, time: str | None = None) -> DataFrame:
