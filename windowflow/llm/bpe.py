@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Code points scanned at a time; a longer text is scanned alone.
 SCAN = 1 << 19
@@ -229,8 +231,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
                     [part.column(0), pa.array(ids, pa.binary()), pa.array(offsets, pa.binary())], ["doc_id", "ids", "offsets"]
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, ids binary, offsets binary"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(
+        in_arrow, run, "doc_id long, ids binary, offsets binary"
     )
 
 
@@ -264,5 +266,5 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
                     ["doc_id", "ids", "decoded", "n_pieces"],
                 )
 
-    return encoded.select("doc_id", "ids", "offsets").mapInArrow(run, "doc_id long, ids binary, decoded binary, n_pieces long")
+    return encoded.select("doc_id", "ids", "offsets").transform(in_arrow, run, "doc_id long, ids binary, decoded binary, n_pieces long")
 

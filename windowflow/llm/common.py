@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +34,26 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Settings of Arrow batches: Spark's default, and the bound that the operators put in its place.
+ARROW_BOUNDS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b"),
+}
+
+
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with smaller batches than Spark's, so that rows with long texts or sets need little memory.
+
+    Spark takes the bounds from the session when the plan runs. A session that has set its own keeps them; no
+    result depends on them.
+    """
+    conf = df.sparkSession.conf
+    for key, (default, bound) in ARROW_BOUNDS.items():
+        if conf.get(key, default) == default:
+            conf.set(key, bound)
+    return df.mapInArrow(run, schema)
+
+
 def fresh(taken: list[str], *wanted: str) -> list[str]:
     """Names for helper columns that no input column has, whatever its case."""
     have = {c.lower() for c in taken}

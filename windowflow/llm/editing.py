@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
+from .common import in_arrow
 from .secrets import _encoder
 
 LEAF = 512
@@ -147,8 +148,8 @@ def edited_counts(docs: DataFrame, ranks_path: str, edits_col: str = "edits", id
                 columns = zip(*rows, strict=True) if rows else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(edits_col).alias("edits")).mapInArrow(
-        run, "doc_id long, n_tokens long, edited_tokens long, n_chars long, edited_chars long, encoded_chars long, n_edits long"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(edits_col).alias("edits")).transform(
+        in_arrow, run, "doc_id long, n_tokens long, edited_tokens long, n_chars long, edited_chars long, encoded_chars long, n_edits long"
     )
 
 

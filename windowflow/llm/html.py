@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 PATH_DIMS, WORD_DIMS, EXTRA = 96, 24, 6
 INPUT, HIDDEN = PATH_DIMS + WORD_DIMS + EXTRA, 24
 
@@ -204,4 +206,4 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(extract(part.column(2).to_pylist()), pa.string())], ["page_id", "url", "text"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return rows.transform(in_arrow, run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .bpe import slices
+from .common import in_arrow
 
 DIMENSIONS, LETTERS, SEED = 1024, 40, 11
 _BASE = ord("a")
@@ -95,7 +96,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter(
         "lang IS NOT NULL AND text IS NOT NULL"
     )
-    sums = rows.mapInArrow(run, "lang string, v array<long>").select("lang", F.posexplode("v").alias("i", "x"))
+    sums = rows.transform(in_arrow, run, "lang string, v array<long>").select("lang", F.posexplode("v").alias("i", "x"))
     sums = sums.groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
     model = {}
     for row in sums.select("lang", F.col("v.x").alias("v")).collect():
@@ -143,4 +144,4 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score"])
 
     schema = StructType([*rows.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return rows.transform(in_arrow, run, schema)

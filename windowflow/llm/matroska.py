@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from .bpe import slices
+from .common import in_arrow
 
 # fixed values: element ids of EBML and Matroska
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -288,8 +289,8 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     [part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"]
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_bytes long, media binary"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(
+        in_arrow, run, "doc_id long, n_bytes long, media binary"
     )
 
 
@@ -310,7 +311,7 @@ def read_media(stored: DataFrame, media_col: str = "media") -> DataFrame:
                 )
 
     schema = StructType([*stored.schema.fields, StructField("payload", BinaryType()), StructField("feature", StringType())])
-    return stored.mapInArrow(run, schema)
+    return stored.transform(in_arrow, run, schema)
 
 
 def packet_table(stored: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -324,4 +325,4 @@ def packet_table(stored: DataFrame, id_col: str = "doc_id", media_col: str = "me
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names)
 
     names = ["doc_id", "packet", "track", "timestamp", "start", "length", "cluster", "lacing"]
-    return stored.select(F.col(id_col).cast("long"), media_col).mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return stored.select(F.col(id_col).cast("long"), media_col).transform(in_arrow, run, ", ".join(f"{x} long" for x in names))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, in_arrow
 from .graph import components
 
 WORDS, BUCKETS, BAND = 5, 128, 4
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     similarity = percent / 100
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = durable(docs.mapInArrow(_describe, "doc_id long, n_shingles long, sig binary, bands array<long>"))
+    described = durable(docs.transform(in_arrow, _describe, "doc_id long, n_shingles long, sig binary, bands array<long>"))
     classes = durable(
         described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("sig")
@@ -292,7 +292,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     screened = durable(
         stars.join(sketches.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("bands").alias("bands_a")), "a")
         .join(sketches.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("bands").alias("bands_b")), "b")
-        .mapInArrow(_screen(similarity), "a long, b long")
+        .transform(in_arrow, _screen(similarity), "a long, b long")
     )
     links = _confirmed(screened, docs, percent)
     found = components(links, "a", "b")
@@ -321,13 +321,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .repartition("band", "key", "lo", "hi")
         .sortWithinPartitions("band", "key", "lo", "hi")
     )
-    hopeful = durable(tiled.mapInArrow(_tiles(similarity), "part int, x long, ys array<long>"))
+    hopeful = durable(tiled.transform(in_arrow, _tiles(similarity), "part int, x long, ys array<long>"))
     if not hopeful.isEmpty():
         sets = _hashed(docs, ids.select(F.col("rep").alias("doc_id")))
         told = ids.join(sets, "rep").select(_part(F.col("rep"), parts).alias("part"), F.col("rep").alias("x"), F.lit(None).cast("array<long>").alias("ys"), "component", "hashes")
         asked = hopeful.join(sets.withColumnRenamed("rep", "x"), "x").select("part", "x", "ys", F.lit(None).cast("long").alias("component"), "hashes")
         compared = told.union(asked).repartition("part").sortWithinPartitions("part", F.col("ys").isNotNull())
-        more = compared.mapInArrow(_compare(percent), "a long, b long")
+        more = compared.transform(in_arrow, _compare(percent), "a long, b long")
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
 
     member = classes.select("sig", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
@@ -345,13 +345,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return durable(
         pairs.join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b")
         .join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a")
-        .mapInArrow(_confirm(percent), "a long, b long")
+        .transform(in_arrow, _confirm(percent), "a long, b long")
     )
 
 
 def _hashed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(rep, hashes) for the documents of ``ids``."""
-    return durable(docs.join(ids, "doc_id").select("doc_id", "text").mapInArrow(_sets, "rep long, hashes binary"))
+    return durable(docs.join(ids, "doc_id").select("doc_id", "text").transform(in_arrow, _sets, "rep long, hashes binary"))
 
 
 def _part(rep: Column, parts: int) -> Column:

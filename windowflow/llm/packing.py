@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 TIERS = (128, 256, 512, 1024)
 LONGEST = TIERS[-1]
 #: Remainders packed together, and tokens of a step group.
@@ -196,4 +198,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
         if pending or full:
             yield batch_of(full + pack_block(pending))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(in_arrow, run, SCHEMA)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import load_ranks, slices
+from .common import in_arrow
 
 # fixed values: kinds in the order in which equal starts are listed, and their patterns
 KINDS = ("assign", "access", "hex", "random")
@@ -93,8 +94,8 @@ def scan_secrets(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_
                 ]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, pa.list_(kind))], ["doc_id", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, spans array<struct<kind:string,start:int,end:int>>"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(
+        in_arrow, run, "doc_id long, spans array<struct<kind:string,start:int,end:int>>"
     )
 
 
@@ -121,7 +122,7 @@ def redact_secrets(docs: DataFrame, ranks_path: str, text_col: str = "text", lea
                 texts = [None if t is None else _redacted(t, all_spans(t, count, least_ratio), mark) for t in part.column(at).to_pylist()]
                 yield part.set_column(at, part.schema.field(at).name, pa.array(texts, part.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_arrow, run, docs.schema)
 
 
 def _redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
