@@ -42,11 +42,17 @@ def _items() -> np.ndarray:
 
 
 @functools.cache
-def _trigrams() -> np.ndarray:
-    """The bound vector of every trigram of classes, by its number."""
+def _pairs() -> np.ndarray:
+    """The bound vector of every pair of classes at a trigram's first two places; few enough for a core's cache."""
     v = _items()
     first, second = np.roll(v, 2, axis=1), np.roll(v, 1, axis=1)
-    return (first[:, None, None] * second[None, :, None] * v[None, None, :]).reshape(-1, DIMENSIONS)
+    return (first[:, None] * second[None, :]).reshape(-1, DIMENSIONS)
+
+
+def trigrams(numbers: np.ndarray) -> np.ndarray:
+    """The bound vectors of trigrams of classes, by their numbers."""
+    pair, last = np.divmod(numbers, LETTERS)
+    return _pairs()[pair] * _items()[last]
 
 
 def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +74,7 @@ def vector(text: str) -> np.ndarray | None:
         return None
     out, n = np.zeros(DIMENSIONS, np.float32), n.astype(np.float32)
     for i in range(0, len(at), 1024):  # so that a long text needs no more memory than a short one
-        out += n[i : i + 1024] @ _trigrams()[at[i : i + 1024]].astype(np.float32)
+        out += n[i : i + 1024] @ trigrams(at[i : i + 1024]).astype(np.float32)
     return out
 
 
@@ -108,9 +114,9 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
 def _bundle(total: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(total)
     out = np.zeros(DIMENSIONS, np.int64)
-    for i in range(0, len(at), 4096):
-        k = at[i : i + 4096]
-        out += np.rint(total[k].astype(np.float64) @ _trigrams()[k].astype(np.float64)).astype(np.int64)
+    for i in range(0, len(at), 1024):
+        k = at[i : i + 1024]
+        out += np.rint(total[k].astype(np.float64) @ trigrams(k).astype(np.float64)).astype(np.int64)
     return out
 
 
