@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import json
 import zlib
 from collections import defaultdict
@@ -31,6 +32,8 @@ TIERS = (128, 256, 512, 1024)
 LONGEST = TIERS[-1]
 #: Remainders packed together, and tokens of a step group.
 BLOCK, STEP_TOKENS = 4096, 16 * LONGEST
+#: Pieces of an Arrow batch that goes out.
+OUT = 512
 
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, "
@@ -177,9 +180,10 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
         pending: list[Piece] = []
         full: list[tuple[int, list[Piece]]] = []
 
-        def batch_of(windows: list[tuple[int, list[Piece]]]) -> pa.RecordBatch:
-            columns = list(zip(*writer.rows(windows), strict=True)) or [[] for _ in names]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        def batches_of(windows: list[tuple[int, list[Piece]]]) -> Iterator[pa.RecordBatch]:
+            for rows in itertools.batched(writer.rows(windows), OUT):
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -190,12 +194,12 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
                 if whole < len(ids):
                     pending.append(Piece(doc, whole, ids[whole:].copy(), len(ids)))
                 if len(full) >= BLOCK:
-                    yield batch_of(full)
+                    yield from batches_of(full)
                     full = []
                 if len(pending) >= BLOCK:
-                    yield batch_of(full + pack_block(pending))
+                    yield from batches_of(full + pack_block(pending))
                     pending, full = [], []
         if pending or full:
-            yield batch_of(full + pack_block(pending))
+            yield from batches_of(full + pack_block(pending))
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(in_arrow, run, SCHEMA)
