@@ -51,7 +51,7 @@ class _Hashes(dict):
     """Word to 64-bit hash; forgets all when it has grown large, so its memory is bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
