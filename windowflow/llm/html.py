@@ -13,7 +13,7 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
-from pathlib import Path
+from importlib.resources import files
 from typing import NamedTuple
 
 import numpy as np
@@ -157,7 +157,7 @@ def run_lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray) -> np.n
 
 @functools.cache
 def model() -> dict[str, np.ndarray]:
-    with np.load(Path(__file__).with_name("html_model.npz")) as f:
+    with files(__package__).joinpath("html_model.npz").open("rb") as raw, np.load(raw) as f:  # also from an archive
         return {k: f[k].astype(np.float32) for k in f.files}
 
 
