@@ -386,6 +386,33 @@ def test_secrets(docs, rows, empty):
     assert secrets._redacted("ab SECRETS cd", [(3, 0, 8), (5, 1, 10)], "#") == "ab # cd"
 
 
+def test_random_keys_are_found_and_words_left_alone():
+    r = random.Random(8)
+    small, tokens_of = "abcdefghijklmnopqrstuvwxyz", secrets._tokens(RANKS)
+
+    def share(alphabet, n, frame="{}"):
+        hit = 0
+        for _ in range(300):
+            key = "".join(r.choices(alphabet, k=n))
+            text = frame.format(key)
+            spans = secrets.random_spans(text, tokens_of, 2.2)
+            hit += any(s <= text.index(key) + 1 and e >= text.index(key) + n - 1 for s, _, e in spans)
+        return hit / 300
+
+    base36, base62 = small + "0123456789", small + small.upper() + "0123456789"
+    assert min(share(base36, n) for n in (16, 20, 24, 32, 64)) >= 0.95
+    assert min(share(small, 24), share(small, 32), share(small + small.upper(), 20), share(small.upper(), 24)) >= 0.9
+    path = "see /usr/local/share/application/configuration/{}/settings/production/database/connection for it"
+    assert min(share(base36, 24, path), share(base62, 24, path)) >= 0.95
+    # its own separators may cut a key to pieces
+    assert share(base62 + "_-", 40, path) >= 0.8
+    names = """getElementByIdAndClass2 user_account_settings_v2 org/apache/commons/lang3/StringUtils kubernetes-deployment-7d4b9c
+        linux-x86_64-gnu-gcc12 AbstractSingletonProxyFactoryBean to-be-or-not-to-be-that-is backup-2024-01-01-12-30-00-v2 internationalization2
+        rechtsschutzversicherungsgesellschaften covid19_cases_2020_2021 ACGTACCTGATTACAGGTCA 2994256256331784
+        data/objects/d41d8cd98f00b204e9800998ecf8427e 123e4567-e89b-12d3-a456-426614174000""".split()
+    assert [x for x in names if secrets.random_spans(x, tokens_of, 2.2)] == ["data/objects/d41d8cd98f00b204e9800998ecf8427e"]  # as a whole, as before
+
+
 def test_queries_return_the_contracts_columns(spark):
     want = {
         "op1": "component_id doc_id kept n_shingles", "op2": "doc_id doc_tokens ids_crc32 length offset sequence_id start",

@@ -2,8 +2,10 @@
 
 A vocabulary made from natural text needs few tokens for words and identifiers but about one for every two
 characters of a random string. Candidates are unbroken runs of key-like characters with letters and
-digits; those with few characters per token are secrets, unless they are known digests (hexadecimal of a
-digest's length), UUIDs, or identifiers made of words.
+digits, or of letters alone; those with few characters per token are secrets, unless they are known digests
+(hexadecimal of a digest's length), UUIDs, or identifiers made of words. What a word is the vocabulary says,
+not its look: random small letters stand in rows too. A run that isn't random as a whole, as a path, is
+judged by its pieces between / + _ - again.
 """
 
 from __future__ import annotations
@@ -31,6 +33,9 @@ HEXADECIMAL = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 #: Hexadecimal digits of the usual digests (MD5, SHA-1, SHA-2).
 DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
 WORDLIKE = re.compile(r"[A-Za-z]?[a-z]{3,}")
+PIECE = re.compile(r"[A-Za-z0-9]+=*")
+#: Letters alone compress worse by chance than letters and digits do: a smaller bound, as a factor, and a least alphabet.
+LETTERS_FACTOR, LETTERS_DISTINCT = 0.9, 8
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -46,24 +51,62 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _identifier(run: str) -> bool:
-    """Made of words: most letters lie in runs of at least three small ones."""
+def _identifier(run: str, tokens_of) -> bool:
+    """Made of words: most letters lie in runs of at least three small ones, and in tokens of at least three letters.
+
+    Where separators part the words, the look is enough: pieces that the vocabulary doesn't know are judged later.
+    """
     letters = sum(c.isalpha() for c in run)
-    return sum(m.end() - m.start() for m in WORDLIKE.finditer(run)) >= 0.7 * letters
+    if sum(m.end() - m.start() for m in WORDLIKE.finditer(run)) < 0.7 * letters:
+        return False
+    return PIECE.fullmatch(run) is None or sum(len(t) for t in tokens_of(run) if len(t) >= 3 and t.isalpha()) >= 0.6 * letters
+
+
+def _random(run: str, tokens_of, least_ratio: float) -> bool:
+    if len(run) < 16 or not any(c.isalpha() for c in run):
+        return False
+    if not any(c.isdigit() for c in run):
+        if not run.rstrip("=").isalpha() or len(set(run)) < LETTERS_DISTINCT:
+            return False
+        least_ratio *= LETTERS_FACTOR
+    if UUID.fullmatch(run) or HEXADECIMAL.fullmatch(run) and len(run) in DIGESTS:
+        return False
+    return len(run) < least_ratio * len(tokens_of(run)) and not _identifier(run, tokens_of)
+
+
+def _stretches(run: str, tokens_of, least_ratio: float) -> Iterator[tuple[int, int]]:
+    """Pieces of a run; neighbours that are no words are taken together, as keys may hold the separators themselves."""
+    pieces = [(m.start(), m.end()) for m in PIECE.finditer(run)]
+    if len(pieces) < 2:
+        return
+    group: list[tuple[int, int]] = []
+    for at in [*pieces, None]:
+        piece = run[at[0] : at[1]] if at else ""
+        if at and len(piece) < least_ratio * len(tokens_of(piece)) and not _identifier(piece, tokens_of):
+            group.append(at)
+            continue
+        if group:
+            start, end = group[0][0], group[-1][1]
+            # dates and versions are digits between separators; a key has letters
+            if len(group) > 1 and 3 * sum(c.isalpha() for c in run[start:end]) >= end - start and _random(run[start:end], tokens_of, least_ratio):
+                yield start, end
+            else:
+                yield from (g for g in group if _random(run[g[0] : g[1]], tokens_of, least_ratio))
+        group = []
 
 
 def random_spans(text: str, tokens_of, least_ratio: float) -> list[tuple[int, int, int]]:
-    """Runs with fewer than ``least_ratio`` characters per token."""
+    """Runs, or pieces of them, with fewer than ``least_ratio`` characters per token; ``tokens_of`` gives a run's tokens."""
     found = []
     for m in CANDIDATE.finditer(text):
         run = m[0].strip("-_/+")
-        if len(run) < 16 or not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
-            continue
-        if UUID.fullmatch(run) or HEXADECIMAL.fullmatch(run) and len(run) in DIGESTS or _identifier(run):
+        start = m.start() + m[0].index(run)
+        if UUID.fullmatch(run):
             continue
-        if len(run) < least_ratio * tokens_of(run):
-            start = m.start() + m[0].index(run)
+        if _random(run, tokens_of, least_ratio):
             found.append((start, 3, start + len(run)))
+        else:
+            found += [(start + s, 3, start + e) for s, e in _stretches(run, tokens_of, least_ratio)]
     return found
 
 
@@ -84,12 +127,12 @@ def scan_secrets(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counter(ranks_path)
+        tokens_of = _tokens(ranks_path)
         kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
         for batch in batches:
             for part in slices(batch):
                 spans = [
-                    [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in all_spans(t or "", count, least_ratio)]
+                    [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in all_spans(t or "", tokens_of, least_ratio)]
                     for t in part.column(1).to_pylist()
                 ]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, pa.list_(kind))], ["doc_id", "spans"])
@@ -99,9 +142,9 @@ def scan_secrets(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_
     )
 
 
-def _counter(ranks_path: str):
+def _tokens(ranks_path: str):
     encoder = _encoder(ranks_path)
-    return lambda run: len(encoder.encode_ordinary(run))
+    return lambda run: encoder.decode_tokens_bytes(encoder.encode_ordinary(run))
 
 
 def all_spans(text: str, tokens_of, least_ratio: float) -> list[tuple[int, int, int]]:
@@ -116,10 +159,10 @@ def redact_secrets(docs: DataFrame, ranks_path: str, text_col: str = "text", lea
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counter(ranks_path)
+        tokens_of = _tokens(ranks_path)
         for batch in batches:
             for part in slices(batch):
-                texts = [None if t is None else _redacted(t, all_spans(t, count, least_ratio), mark) for t in part.column(at).to_pylist()]
+                texts = [None if t is None else _redacted(t, all_spans(t, tokens_of, least_ratio), mark) for t in part.column(at).to_pylist()]
                 yield part.set_column(at, part.schema.field(at).name, pa.array(texts, part.schema.field(at).type))
 
     return docs.transform(in_arrow, run, docs.schema)
