@@ -189,6 +189,31 @@ def test_outliers_are_found_in_every_group(spark):
     assert {r.doc_id for r in rows if not r.kept} == {i for i in range(900) if i % 25 == 7}
 
 
+def test_outliers_of_every_statistic(spark):
+    r = random.Random(12)
+    vocabulary = ["".join(r.choices("abcdefgh", k=r.randint(2, 7))) for _ in range(4000)]
+
+    def lines_of(n, words=9):
+        return [" ".join(r.choices(vocabulary, k=words)) for _ in range(n)]
+
+    plants = {
+        "repeats": lambda: " ".join([*(once := r.choices(vocabulary, k=45)), *r.choices(vocabulary, k=110), *once]),  # 45 % of 200 words
+        "dup_lines": lambda: "\n".join(x for line in lines_of(18) for x in ([line, "Read more"] if r.random() < 0.7 else [line])),  # about 40 %
+        "word_length": lambda: " ".join(x + "abcde" for x in r.choices(vocabulary, k=200)),
+        "symbols": lambda: " ".join(x + "#" * (k % 8 == 0) for k, x in enumerate(r.choices(vocabulary, k=200))),
+        # clean: a line twice in a short text
+        "": lambda: "\n".join([*(few := lines_of(8)), few[2]]),
+    }
+    made, planted = [], {}
+    for i in range(600):
+        name = [*plants][i // 30 % 5] if i % 30 == 7 else None
+        made.append((i, plants[name]() if name is not None else "\n".join(lines_of(r.randint(8, 40)))))
+        planted[i] = name
+    rows = quality.robust_outliers(spark.createDataFrame(made, "doc_id long, text string").withColumn("lang", F.lit("en"))).collect()
+    assert not any(r.base_failed for r in rows)
+    assert Counter(planted[x.doc_id] for x in rows if not x.kept) == Counter(n for n in planted.values() if n)
+
+
 def test_html():
     page = (
         "<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav>"

@@ -23,7 +23,11 @@ from .common import WS, durable
 #: The statistic vector.
 FEATURES = ("word_length", "symbols", "dup_lines", "repeats")
 #: Least deviation that an estimate may claim for each: below it, differences mean nothing.
-FLOORS = (0.1, 0.1, 0.12, 0.15)
+FLOORS = (0.1, 0.1, 0.08, 0.1)
+#: 99.9 % point of the chi-square distribution with four degrees of freedom, one for each statistic.
+CHI_SQUARE = 18.467
+#: Words that count as one observation of a repeat: repeats come as passages of about a line.
+PASSAGE = 9
 #: Steps of the grids on which medians and distances are counted.
 GRID, DISTANCES = 256, 32
 SALTS = 64
@@ -80,13 +84,18 @@ def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _share(part: Column, of: Column, n: Column) -> Column:
+    """asin(sqrt(share)) less two deviations of a share among n observations, so that one repeated line of a short text means nothing."""
+    return F.greatest(F.asin(F.sqrt(part / of)) - 1 / F.sqrt(n), F.lit(0.0))
+
+
 def _vector(stats: DataFrame) -> DataFrame:
-    n = F.greatest(F.col("n_words"), F.lit(1))
+    n, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
     return (
         stats.withColumn("word_length", F.log(F.col("word_chars") / n + 1))
         .withColumn("symbols", F.log1p(10 * F.col("n_symbols") / n))
-        .withColumn("dup_lines", F.asin(F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)))))
-        .withColumn("repeats", F.asin(F.sqrt(F.col("n_repeat_words") / n)))
+        .withColumn("dup_lines", _share(F.col("n_dup_lines"), lines, lines))
+        .withColumn("repeats", _share(F.col("n_repeat_words"), n, n / PASSAGE))
     )
 
 
@@ -140,7 +149,7 @@ def robust_outliers(
     support: float = 0.75,
     steps: int = 3,
     least_group: int = 50,
-    reject_at: float = 60.0,
+    reject_at: float = CHI_SQUARE,
 ) -> DataFrame:
     """Base statistics, base_failed, distance and kept for every row of ``docs``.
 
