@@ -140,6 +140,20 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty, JSON).count() == 0
 
 
+def test_packing_matches_added_tokens_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(JSON)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y  ", "<|endoftext> <|ENDOFTEXT|> <|end<|endoftext|>", "it's\n<|endoftext|>\n\n we'll", ""]
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    got = packing.pack_documents(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), JSON).collect()
+    want = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    have = defaultdict(list)
+    for r in sorted(got, key=lambda r: r.start):
+        have[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    assert have == want and all(r.doc_tokens == len(want[r.doc_id]) for r in got)
+
+
 def test_packing_fills_windows_and_balances_steps():
     r = random.Random(2)
     pieces = [packing.Piece(i, 0, np.zeros(r.randint(1, 1023), "<u4"), 0) for i in range(3000)]

@@ -16,6 +16,7 @@ import functools
 import heapq
 import itertools
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -45,7 +46,7 @@ SCHEMA = (
 def load_vocabulary(path: str):
     """A fast encoder with the vocabulary of a byte-level ``tokenizers`` file, whose ids it gives.
 
-    Special tokens' strings are ordinary text. The pattern is the one that the library uses for
+    Added tokens' strings are ordinary text here; ``load_encoder`` matches them. The pattern is the one that the library uses for
     byte-level pre-tokens.
     """
     import tiktoken
@@ -61,6 +62,28 @@ def load_vocabulary(path: str):
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.lru_cache(2)
+def load_encoder(path: str):
+    """text -> ids as the library gives them by default: strings of added tokens are matched before all else."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens") or []
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{path}: added tokens that look at words or white space around them are not supported")
+    plain = load_vocabulary(path).encode_ordinary
+    ids = {t["content"]: t["id"] for t in added}
+    if not ids:
+        return plain
+    strings = re.compile("(" + "|".join(re.escape(x) for x in sorted(ids, key=len, reverse=True)) + ")")
+
+    def encode(text: str) -> list[int]:
+        parts = strings.split(text)
+        if len(parts) == 1:
+            return plain(text)
+        return [i for k, part in enumerate(parts) for i in ([ids[part]] if k % 2 else plain(part))]
+
+    return encode
+
+
 class Piece:
     """Ids of one document from a start on, in one sequence."""
 
@@ -174,7 +197,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer = load_vocabulary(vocabulary), _Writer(TaskContext.get().partitionId())
+        encode, writer = load_encoder(vocabulary), _Writer(TaskContext.get().partitionId())
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in SCHEMA.split(", ")]
         pending: list[Piece] = []
@@ -187,7 +210,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*encoder.encode_ordinary(text.as_py() or ""), end_id], "<u4")
+                ids = np.array([*encode(text.as_py() or ""), end_id], "<u4")
                 whole = len(ids) // LONGEST * LONGEST
                 for s in range(0, whole, LONGEST):
                     full.append((LONGEST, [Piece(doc, s, ids[s : s + LONGEST], len(ids))]))
