@@ -17,9 +17,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in which no language can be seen: a null text, or one without a letter."""
+    """Rejects documents in which no language can be seen: a null text, or one without a letter.
+
+    Without a language to learn from, or with one of that name, ``und`` says less: letters themselves decide.
+    """
     model = languages.learn(docs)
-    return languages.identify(docs, model).filter("lang_pred <> 'und'").select(*COLUMNS)
+    return languages.identify(docs, model).filter((F.col("lang_pred") != "und") | F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

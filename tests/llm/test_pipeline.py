@@ -36,3 +36,11 @@ def test_run_and_empty(spark, docs, tmp_path):
     none = docs.select(*corpus_pipeline.COLUMNS).limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, "").count() == 0
+
+
+def test_language_id_keeps_letters_without_a_model(spark):
+    made = [(1, "some words"), (2, "123 !"), (3, None), (4, "\u4e2d"), (5, "\U00010400")]
+    docs = spark.createDataFrame(made, "doc_id long, text string").selectExpr("*", "cast(null as string) lang", "'s' source", "0L n_chars")
+    for lang in (None, "und"):
+        got = corpus_pipeline.language_id(spark, docs.selectExpr("doc_id", "text", f"cast({'null' if lang is None else repr(lang)} as string) lang", "source", "n_chars"), "")
+        assert {r.doc_id for r in got.collect()} == {1, 4, 5}
