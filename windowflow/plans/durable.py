@@ -1,30 +1,70 @@
-"""Cutting lineage where a plan must not be evaluated twice."""
+"""Cutting lineage where a plan must not be evaluated twice.
+
+A durable table is written as Parquet below the folder that the cluster names in ``spark.checkpoint.dir``, so
+it outlives lost executors, its columns are pruned like any table's, and its files can be deleted as soon as nothing
+reads them: at once with ``release``, or all that were made inside ``with scratch():`` at its end. Tables
+made outside stay, like Spark's own checkpoints.
+"""
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def _settled(spark: SparkSession) -> str:
-    """The checkpoint folder, set from ``spark.checkpoint.dir``; a local session may have none."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
+_OPEN: list[list[tuple[SparkSession, str]]] = []
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint."""
-    _settled(df.sparkSession)
-    return df.checkpoint(eager=True)
+def folder(spark: SparkSession) -> str:
+    """The shared folder; only a local session that names none gets a temporary one."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path of its own beside the checkpoints, on storage that all executors share."""
-    return f"{_settled(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append((spark, path))
+    return path
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written and read again; no rows are computed twice."""
+    path = new_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of durable tables that nothing will read any more."""
+    for df in tables:
+        remove(df.sparkSession, df._durable_path)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Folders made inside are deleted at the end; what is read from them must be written elsewhere before."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _OPEN.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on any storage that Spark reaches; one that isn't there is no error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
