@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.durable import durable, new_folder, release, remove, scratch
+
+__all__ = ["ARROW_BOUNDS", "WS", "bounded", "durable", "fresh", "in_arrow", "new_folder", "release", "remove", "scratch", "table"]
+
 #: ASCII white space as the contracts define it, for Java regular expressions.
 WS = r"[ \t\n\u000B\f\r]"
 
@@ -16,42 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session that names
-    none (a local test) gets a temporary one.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
-#: Settings of Arrow batches: Spark's default, and the bound that the operators put in its place.
+#: Settings of the batches in which texts are read and sent to Python: Spark's default, and the bound in its place.
 ARROW_BOUNDS = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
-    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b"),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "2097152b"),
 }
 
 
 def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``df.mapInArrow`` with smaller batches than Spark's, so that rows with long texts or sets need little memory.
+    """``df.mapInArrow`` with smaller batches than Spark's, so that rows with long texts or sets need little memory."""
+    bounded(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
 
-    Spark takes the bounds from the session when the plan runs. A session that has set its own keeps them; no
-    result depends on them.
+def bounded(spark: SparkSession) -> None:
+    """Lowers the session's batches. Spark looks at them when a plan runs, so they stay lowered for what the session runs later.
+
+    A session that has set its own keeps them; no result depends on them.
     """
-    conf = df.sparkSession.conf
     for key, (default, bound) in ARROW_BOUNDS.items():
-        if conf.get(key, default) == default:
-            conf.set(key, bound)
-    return df.mapInArrow(run, schema)
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, bound)
 
 
 def fresh(taken: list[str], *wanted: str) -> list[str]:

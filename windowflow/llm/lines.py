@@ -13,7 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh
+from .common import bounded, durable, fresh
 
 _LAST = (1 << 63) - 1
 
@@ -32,6 +32,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone. A null or empty text is one empty line. Rows with the same id are one document; all
     documents without an id count as one that comes after all others. No rows give no rows.
     """
+    bounded(docs.sparkSession)
     taken = docs.columns
     ident, digest, lost = fresh(taken, "line_doc", "line_text_hash", "line_lost")
     added = ["kept_text", "n_lines", "n_dropped"]

@@ -10,14 +10,17 @@ far below the threshold; the rest are compared on their full shingle sets.
 
 Work in a bucket of candidates never makes all its pairs. Documents with the same set are one class from
 the start. Every class is first compared with the smallest one of each of its buckets; found links
-join classes into components. Only buckets that still hold more than one component are looked at again,
-in tiles of bounded size. A tile gives, for an entry and a part of the other documents, the list of those
-in other components that pass the estimate, and the entry visits that part's full sets. No bucket is
-capped, and no pair that passes the estimate stays unchecked.
+join classes into components. Only buckets that still hold more than one component are looked at again, and
+there only the strays ask: the members outside the bucket's largest component. Askers and members are cut
+into blocks of bounded size, and a block of askers meets a block of members in one row group, so the members
+of a large component are shuffled once for every block of its strays. What comes out, for an asker and a part of the
+other documents, is the list of those in other components that pass the estimate; the asker then visits that part's
+full sets. No bucket is capped, and no pair that passes the estimate stays unchecked.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +29,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, in_arrow
+from .common import durable, in_arrow, release
 from .graph import components
 
 WORDS, BUCKETS, BAND = 5, 128, 4
 BANDS = BUCKETS // BAND
 ZEROS, MANTISSA = 6, 10
-TILE = 256
-#: Documents whose full sets are held together when entries are compared with them.
-PART = 500
+#: Members of a bucket in a block.
+BLOCK = 4096
+#: Hashes of full sets that are held together when askers are compared with them.
+PART = 1 << 21
+#: Bytes of a text that are cut into words at a time.
+CHUNK = 1 << 20
 
 
 def _splitmix(x: np.ndarray) -> np.ndarray:
@@ -57,12 +63,26 @@ class _Hashes(dict):
         return h
 
 
+_SPACE = re.compile(rb"[\x20\t-\r]")
+
+
+def _word_hashes(text: str, cache: dict) -> np.ndarray:
+    raw = text.encode("utf-8", "surrogatepass").lower()  # lower and split touch ASCII alone
+    parts, at = [], 0
+    while at < len(raw):
+        m = _SPACE.search(raw, at + CHUNK)
+        end = m.start() if m else len(raw)
+        words = (raw if end - at == len(raw) else raw[at:end]).split()
+        parts.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
+        at = end
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
 def shingles(text: str | None, cache: dict) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles; empty without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both touch ASCII alone
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    h = _word_hashes(text or "", cache)
+    if not len(h):
+        return h
     k = min(WORDS, len(h))
     n = len(h) - k + 1
     total = np.full(n, k, np.uint64)
@@ -159,63 +179,53 @@ def _confirm(percent: int):
     return run
 
 
-def _tiles(similarity: float):
-    """Rows come sorted by tile. Out go, for an entry and a group of others, those that may be linked to it.
+def _meetings(similarity: float):
+    """Rows come sorted by bucket and blocks, members before askers. Out go, for an asker and a part of the others, those that may be linked to it.
 
-    Only pairs of different components count, each in the first band on which it agrees; the entry is the
-    one whose component has fewer members in the tile, so a stray meets a large component in a few rows.
+    Only pairs of different components count, each in the first band on which it agrees. Two askers meet
+    twice, once as member each; of these, the one in which the asker has the larger id counts.
     """
-
-    def pairs(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        first = np.flatnonzero(rows["block"] == rows["lo"][0])
-        diagonal = rows["lo"][0] == rows["hi"][0]
-        second = first if diagonal else np.flatnonzero(rows["block"] == rows["hi"][0])
-        _, own, members = np.unique(rows["component"], return_inverse=True, return_counts=True)
-        members = members[own]
-        left, right = [], []
-        for i in first:
-            j = second[second > i] if diagonal else second
-            j = j[own[j] != own[i]]
-            j = j[np.minimum(rows["n"][j], rows["n"][i]) >= similarity * np.maximum(rows["n"][j], rows["n"][i]) - 1e-9]
-            if not len(j):
-                continue
-            same = rows["bands"][j] == rows["bands"][i]
-            earliest = same.reshape(len(j), BANDS, BAND).all(axis=2).argmax(axis=1) == rows["band"][0]
-            j = j[_hopeful(same.mean(axis=1), np.full(len(j), rows["n"][i]), rows["n"][j], similarity) & earliest]
-            swap = members[j] < members[i]
-            left.append(np.where(swap, j, i))
-            right.append(np.where(swap, i, j))
-        return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
+    names = ("band", "key", "i", "j", "asks", "part", "rep", "component", "n")
+
+    def candidates(members: dict[str, np.ndarray], x: dict, k: int) -> np.ndarray:
+        j = np.flatnonzero((members["component"] != x["component"][k]) & ((members["stray"] == 0) | (members["rep"] < x["rep"][k])))
+        n = members["n"][j]
+        j = j[np.minimum(n, x["n"][k]) >= similarity * np.maximum(n, x["n"][k]) - 1e-9]
+        if not len(j):
+            return j
+        same = members["bands"][j] == x["bands"][k]
+        earliest = same.reshape(len(j), BANDS, BAND).all(axis=2).argmax(axis=1) == x["band"][k]
+        return j[earliest & _hopeful(same.mean(axis=1), np.full(len(j), x["n"][k]), members["n"][j], similarity)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[dict[str, np.ndarray]] = []
-        names = ("band", "key", "lo", "hi", "block", "part", "rep", "component", "n")
-
-        def flush() -> pa.RecordBatch:
-            whole = {k: np.concatenate([p[k] for p in kept]) for k in kept[0]}
-            kept.clear()
-            x, y = pairs(whole)
-            x, part, y = whole["rep"][x], whole["part"][y], whole["rep"][y]
-            order = np.lexsort((part, x))
-            x, part, y = x[order], part[order], y[order]
-            cuts = np.flatnonzero((x[1:] != x[:-1]) | (part[1:] != part[:-1])) + 1 if len(x) else np.empty(0, np.int64)
-            at = np.concatenate(([0], cuts)) if len(x) else cuts
-            lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(x)), pa.int32()), pa.array(y, pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(part[at], pa.int32()), pa.array(x[at], pa.int64()), lists], ["part", "x", "ys"])
-
+        now, kept, members = None, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
+            rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in (*names, "stray")}
             rows["bands"] = _registers(batch.column("bands"))
-            tile = np.stack([rows[k] for k in names[:4]], axis=1)
-            cuts = np.flatnonzero((tile[1:] != tile[:-1]).any(axis=1)) + 1
-            for s, e in zip([0, *cuts], [*cuts, len(tile)], strict=True):
-                if kept and any(kept[-1][k][0] != rows[k][s] for k in names[:4]):
-                    yield flush()
-                kept.append({k: v[s:e] for k, v in rows.items()})
-        if kept:
-            yield flush()
+            group = np.stack([rows[k] for k in names[:5]], axis=1)
+            cuts = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
+            part, xs, ys = [], [], []
+            for s, e in zip([0, *cuts], [*cuts, len(group)], strict=True):
+                if now != (at := tuple(group[s, :4].tolist())):
+                    now, kept, members = at, [], None
+                piece = {k: v[s:e] for k, v in rows.items()}
+                if not piece["asks"][0]:
+                    kept.append({k: v.copy() for k, v in piece.items()})
+                    continue
+                if not kept:
+                    continue
+                if members is None:
+                    members = {k: np.concatenate([x[k] for x in kept]) for k in kept[0]}
+                for k in range(e - s):
+                    j = candidates(members, piece, k)
+                    for p in np.unique(members["part"][j]).tolist():
+                        part.append(p)
+                        xs.append(int(piece["rep"][k]))
+                        ys.append(members["rep"][j[members["part"][j] == p]])
+            lists = pa.array(ys, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(xs, pa.int64()), lists], ["part", "x", "ys"])
 
     return run
 
@@ -273,65 +283,66 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .groupBy("sig")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     )
-    entries = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
-    buckets = (
-        entries.groupBy("band", "key")
-        .agg(F.min(F.struct("rep", "n")).alias("top"), F.count("*").alias("members"))
-        .filter("members > 1")
-    )
-    crowded = durable(
-        entries.join(buckets, ["band", "key"]).select("band", "key", "rep", "n", "members", "top")
-    )
-    stars = (
-        crowded.filter("rep <> top.rep")
-        .filter(F.least("n", "top.n") >= similarity * F.greatest("n", "top.n") - 1e-9)
-        .select(F.col("top.rep").alias("a"), F.col("rep").alias("b"))
-        .distinct()
-    )
-    sketches = classes.select("rep", "n", "bands")
-    screened = durable(
-        stars.join(sketches.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("bands").alias("bands_a")), "a")
-        .join(sketches.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("bands").alias("bands_b")), "b")
-        .transform(in_arrow, _screen(similarity), "a long, b long")
+    # wherever an aggregate meets rows again it is written first: then both sides are plain shuffles, and Spark splits a hot key's rows
+    entries = classes.select("rep", F.posexplode("bands").alias("band", "key"))
+    buckets = durable(entries.groupBy("band", "key").agg(F.min("rep").alias("top"), F.count("*").alias("members")).filter("members > 1"))
+    crowded = durable(entries.join(buckets, ["band", "key"]).select("band", "key", "rep", "members", "top"))
+    stars = crowded.filter("rep <> top").select(F.col("top").alias("a"), F.col("rep").alias("b")).distinct()
+    links = _confirmed(_screened(stars, classes, similarity), docs, percent)
+    found = durable(components(links, "a", "b"))
+
+    grouped = durable(
+        crowded.select("band", "key", "rep", "members")
+        .join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        .withColumn("component", F.coalesce("component", "rep"))
     )
-    links = _confirmed(screened, docs, percent)
-    found = components(links, "a", "b")
-
-    grouped = crowded.select("band", "key", "rep", "members").join(
-        found.select(F.col("node").alias("rep"), "component"), "rep", "left"
-    ).withColumn("component", F.coalesce("component", "rep"))
-    open_buckets = (
-        grouped.groupBy("band", "key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .filter("low <> high")
-        .select("band", "key")
+    open_buckets = durable(
+        grouped.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band", "key")
     )
     strays = durable(grouped.join(open_buckets, ["band", "key"]))
-    ids = strays.select("rep", "component").distinct()
-    parts = max(1, -(-ids.count() // PART))
-    tiled = (
-        strays.withColumn("blocks", F.ceil(F.col("members") / F.lit(TILE)).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sizes = strays.groupBy("band", "key", "component").agg(F.count("*").alias("size"))
+    most = durable(sizes.groupBy("band", "key").agg(F.max_by("component", "size").alias("most"), (F.sum("size") - F.max("size")).alias("askers")))
+    ids = durable(strays.select("rep", "component").distinct().join(classes.select("rep", "n"), "rep"))
+    parts = max(1, -(-(ids.agg(F.sum("n")).first()[0] or 0) // PART))
+    placed = (
+        strays.join(most, ["band", "key"])
+        .withColumn("stray", (F.col("component") != F.col("most")).cast("int"))
+        .withColumn("member_blocks", F.ceil(F.col("members") / F.lit(BLOCK)).cast("int"))
+        .withColumn("asker_blocks", F.ceil(F.col("askers") / F.lit(BLOCK)).cast("int"))
         .withColumn("part", _part(F.col("rep"), parts))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("lo", F.least("block", "other"))
-        .withColumn("hi", F.greatest("block", "other"))
-        .join(sketches, "rep")
-        .select("band", "key", "lo", "hi", "block", "part", "rep", "component", "n", "bands")
-        .repartition("band", "key", "lo", "hi")
-        .sortWithinPartitions("band", "key", "lo", "hi")
     )
-    hopeful = durable(tiled.transform(in_arrow, _tiles(similarity), "part int, x long, ys array<long>"))
+    block = lambda of: F.pmod(F.xxhash64("rep"), F.col(of)).cast("int")
+    every = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    visits = F.transform(every("asker_blocks"), lambda i: F.struct(i.alias("i"), block("member_blocks").alias("j"), F.lit(0).alias("asks")))
+    asked = F.transform(every("member_blocks"), lambda j: F.struct(block("asker_blocks").alias("i"), j.alias("j"), F.lit(1).alias("asks")))
+    visits = F.when(F.col("stray") == 1, F.concat(visits, asked)).otherwise(visits)
+    met = (
+        placed.withColumn("v", F.explode(visits))
+        .join(classes.select("rep", "n", "bands"), "rep")
+        .select("band", "key", "v.i", "v.j", "v.asks", "stray", "part", "rep", "component", "n", "bands")
+        .repartition("band", "key", "i", "j")
+        .sortWithinPartitions("band", "key", "i", "j", "asks")
+    )
+    hopeful = durable(met.transform(in_arrow, _meetings(similarity), "part int, x long, ys array<long>"))
+    release(buckets, crowded, grouped, open_buckets, strays, most)
     if not hopeful.isEmpty():
-        sets = _hashed(docs, ids.select(F.col("rep").alias("doc_id")))
-        told = ids.join(sets, "rep").select(_part(F.col("rep"), parts).alias("part"), F.col("rep").alias("x"), F.lit(None).cast("array<long>").alias("ys"), "component", "hashes")
-        asked = hopeful.join(sets.withColumnRenamed("rep", "x"), "x").select("part", "x", "ys", F.lit(None).cast("long").alias("component"), "hashes")
-        compared = told.union(asked).repartition("part").sortWithinPartitions("part", F.col("ys").isNotNull())
-        more = compared.transform(in_arrow, _compare(percent), "a long, b long")
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
+        named = hopeful.select(F.explode("ys").alias("rep")).distinct()
+        sets = _hashed(docs, named.union(hopeful.select("x")).distinct().select(F.col("rep").alias("doc_id")))
+        none = F.lit(None)
+        told = ids.join(named, "rep").join(sets, "rep").select(
+            _part(F.col("rep"), parts).alias("part"), F.col("rep").alias("x"), none.cast("array<long>").alias("ys"), "component", "hashes"
+        )
+        asking = hopeful.join(sets.withColumnRenamed("rep", "x"), "x").select("part", "x", "ys", none.cast("long").alias("component"), "hashes")
+        compared = told.union(asking).repartition("part").sortWithinPartitions("part", F.col("ys").isNotNull())
+        more = durable(compared.transform(in_arrow, _compare(percent), "a long, b long"))
+        first = found
+        found = durable(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b"))
+        release(first, more, sets)
+    release(hopeful, ids, links)
 
     member = classes.select("sig", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    member = member.select("sig", F.coalesce("component", "rep").alias("component"))
+    member = durable(member.select("sig", F.coalesce("component", "rep").alias("component")))
+    release(classes, found)
     return (
         described.join(member, "sig", "left")
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
@@ -339,14 +350,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _screened(stars: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow the similarity."""
+    side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("bands").alias(f"bands_{c}"))
+    pairs = stars.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
+    return durable(pairs.transform(in_arrow, _screen(similarity), "a long, b long"))
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs of representatives that meet the similarity on their full sets."""
     sets = _hashed(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    return durable(
+    out = durable(
         pairs.join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b")
         .join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a")
         .transform(in_arrow, _confirm(percent), "a long, b long")
     )
+    release(sets, pairs)
+    return out
 
 
 def _hashed(docs: DataFrame, ids: DataFrame) -> DataFrame:

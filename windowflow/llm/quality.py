@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, durable
+from .common import WS, bounded, durable
 
 #: The statistic vector.
 FEATURES = ("word_length", "symbols", "dup_lines", "repeats")
@@ -161,6 +161,7 @@ def robust_outliers(
     repeated row is judged like its first. Missing columns lang or source count as null, further
     columns are dropped, no rows give no rows.
     """
+    bounded(docs.sparkSession)
     stats = base_statistics(docs, id_col, text_col).withColumn(
         "base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     )
