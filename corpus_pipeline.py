@@ -10,19 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windowflow.llm import languages, lines, neardup, packing, secrets
-from windowflow.llm.common import durable
+from windowflow.llm.common import new_folder, remove, scratch
 from windowflow.llm.queries import tokenizer_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in which no language can be seen: a null text, or one without a letter.
+    """Rejects documents in which no language can be seen, a null text or one without a letter, and names the language of the others where lang is null.
 
     Without a language to learn from, or with one of that name, ``und`` says less: letters themselves decide.
     """
     model = languages.learn(docs)
-    return languages.identify(docs, model).filter((F.col("lang_pred") != "und") | F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    seen = languages.identify(docs, model).filter((F.col("lang_pred") != "und") | F.col("text").rlike(r"\p{L}"))
+    return seen.withColumn("lang", F.coalesce("lang", F.when(F.col("lang_pred") != "und", F.col("lang_pred")))).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,17 +60,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each result written as Parquet beside the checkpoints and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on documents, each result written as Parquet beside the checkpoints and read again.
+
+    What a stage wrote for itself, and its predecessor's result, go once its own result is written; the last stage is lazy
+    and reads the result before it, which stays.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = _kept(spark, stage(spark, docs, sf_dir), name)
+        path = new_folder(spark, f"pipeline-{name}")
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
-
-
-def _kept(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
-    import uuid
-
-    durable(spark.range(0).toDF("id"))  # settles the checkpoint folder
-    path = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}-{name}"
-    docs.write.parquet(path)
-    return spark.read.parquet(path)
