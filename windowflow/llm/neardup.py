@@ -36,7 +36,7 @@ WORDS, BUCKETS, BAND = 5, 128, 4
 BANDS = BUCKETS // BAND
 ZEROS, MANTISSA = 6, 10
 #: Members of a bucket in a block.
-BLOCK = 4096
+BLOCK = 1024
 #: Hashes of full sets that are held together when askers are compared with them.
 PART = 1 << 21
 #: Bytes of a text that are cut into words at a time.
@@ -326,10 +326,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hopeful = durable(met.transform(in_arrow, _meetings(similarity), "part int, x long, ys array<long>"))
     release(buckets, crowded, grouped, open_buckets, strays, most)
     if not hopeful.isEmpty():
-        named = hopeful.select(F.explode("ys").alias("rep")).distinct()
-        sets = _hashed(docs, named.union(hopeful.select("x")).distinct().select(F.col("rep").alias("doc_id")))
+        sets = _hashed(docs, ids.select(F.col("rep").alias("doc_id")))
         none = F.lit(None)
-        told = ids.join(named, "rep").join(sets, "rep").select(
+        told = ids.join(sets, "rep").select(
             _part(F.col("rep"), parts).alias("part"), F.col("rep").alias("x"), none.cast("array<long>").alias("ys"), "component", "hashes"
         )
         asking = hopeful.join(sets.withColumnRenamed("rep", "x"), "x").select("part", "x", "ys", none.cast("long").alias("component"), "hashes")
