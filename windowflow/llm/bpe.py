@@ -14,6 +14,8 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import json
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import in_arrow
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
-#: Code points scanned at a time; a longer text is scanned alone.
+#: Code points scanned at a time; a longer text is scanned in parts.
 SCAN = 1 << 19
 CACHE = 500_000
 
@@ -124,6 +126,52 @@ def starts(points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return first | word | join | space & ~join & (~before_space | next_word)
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def cuts(text: str) -> np.ndarray:
+    """Where a text can be cut so that its parts, one by one, have the pre-tokens of the whole.
+
+    A pre-token begins there and the character before is no white space, for what white space becomes depends on
+    what follows it; everything else is decided by what stands before.
+    """
+    points = _points(text)
+    if not len(points):
+        return np.empty(0, np.int64)
+    space = _classes().take(points) == SPACE
+    return np.flatnonzero(starts(points, np.array([len(points)]))[1:] & ~space[:-1]) + 1
+
+
+def is_cut(left: str, right: str) -> bool:
+    """Whether two texts can be laid end to end without changing their pre-tokens; ``left`` begins at a cut."""
+    cls = _classes()
+    if not left or not right or cls[ord(left[-1])] == SPACE:
+        return False
+    if cls[ord(right[0])] == SPACE:
+        return True
+    points = _points(left + right[:4])
+    return bool(starts(points, np.array([len(points)]))[len(left)])
+
+
+def chunks(text: str, size: int) -> Iterator[str]:
+    """The text in parts of about ``size`` characters that can be encoded one by one; longer only where it has no cut."""
+    at = 0
+    while len(text) - at > size:
+        reach = size
+        while True:
+            found = cuts(text[at : at + reach + 4])  # a cut looks at most three characters ahead
+            found = found[found <= reach]
+            if len(found) or at + reach >= len(text):
+                break
+            reach *= 2
+        if not len(found):
+            break
+        yield text[at : at + int(found[-1])]
+        at += int(found[-1])
+    yield text[at:]
+
+
 def pieces(texts: list[str]) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """For each text its pre-tokens as bytes and the byte offsets at which they begin."""
     group: list[str] = []
@@ -132,6 +180,14 @@ def pieces(texts: list[str]) -> Iterator[tuple[list[bytes], np.ndarray]]:
         if group and size + len(text) > SCAN:
             yield from _pieces(group)
             group, size = [], 0
+        if len(text) > SCAN:
+            found, where, done = [], [], 0
+            for own, at in (x for part in chunks(text, SCAN) for x in _pieces([part])):
+                found += own
+                where.append(at + np.uint32(done))
+                done += sum(map(len, own))
+            yield found, np.concatenate(where)
+            continue
         group.append(text)
         size += len(text)
     if group:
@@ -169,6 +225,54 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def load_vocabulary(path: str) -> dict[bytes, int]:
+    """Token bytes to rank, from a byte-level ``tokenizers`` file; tokens like <|this|> are left out."""
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    # byte-level files show each byte as a printable character: printable Latin-1 as itself, the rest from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    return {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if not (token.startswith("<|") and token.endswith("|>"))}
+
+
+#: Fixed value: the pattern of the module's pre-tokens.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space that is too long for the pattern: matching it goes back step by step, on a stack.
+LONG_SPACE = 20_000
+_LONG_SPACE = re.compile(rf"(?<!\s)\s{{{LONG_SPACE},}}")
+
+
+class Encoder:
+    """A compiled library's encoder for a vocabulary, which no text can bring down: long white space goes through this module's own scan."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        import tiktoken
+
+        self.library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> list[int]:
+        if len(text) < LONG_SPACE or not _LONG_SPACE.search(text):
+            return self.library.encode_ordinary(text)
+        out: list[int] = []
+        for part in chunks(text, 1 << 16):
+            if not _LONG_SPACE.search(part):
+                out += self.library.encode_ordinary(part)
+                continue
+            ((found, _),) = _pieces([part])
+            for piece in found:
+                out += self.library._encode_single_piece(piece)
+        return out
+
+    def tokens(self, text: str) -> list[bytes]:
+        return self.library.decode_tokens_bytes(self.encode(text))
+
+
+@functools.lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """The encoder of a file of ranks or, if its name ends in .json, of a byte-level ``tokenizers`` file without its added tokens."""
+    return Encoder(load_vocabulary(path) if path.endswith(".json") else load_ranks(path))
+
+
 class Merges(dict):
     """Pre-token to its ids as little-endian 32-bit bytes; emptied when large, so its memory is bounded."""
 

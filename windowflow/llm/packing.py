@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import encoder
 from .common import in_arrow
 
 TIERS = (128, 256, 512, 1024)
@@ -42,26 +43,6 @@ SCHEMA = (
 )
 
 
-@functools.lru_cache(2)
-def load_vocabulary(path: str):
-    """A fast encoder with the vocabulary of a byte-level ``tokenizers`` file, whose ids it gives.
-
-    Added tokens' strings are ordinary text here; ``load_encoder`` matches them. The pattern is the one that the library uses for
-    byte-level pre-tokens.
-    """
-    import tiktoken
-
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    # byte-level files show each byte as a printable character: printable Latin-1 as itself, the rest from 256 on
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-    specials = {x for x in model["vocab"] if x.startswith("<|") and x.endswith("|>")}
-    ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in specials}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
 @functools.lru_cache(2)
 def load_encoder(path: str):
     """text -> ids as the library gives them by default: strings of added tokens are matched before all else."""
@@ -69,7 +50,7 @@ def load_encoder(path: str):
         added = json.load(f).get("added_tokens") or []
     if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
         raise ValueError(f"{path}: added tokens that look at words or white space around them are not supported")
-    plain = load_vocabulary(path).encode_ordinary
+    plain = encoder(path).encode
     ids = {t["content"]: t["id"] for t in added}
     if not ids:
         return plain
