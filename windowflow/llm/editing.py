@@ -1,47 +1,38 @@
 """Token counts that follow edits.
 
-A document's pre-tokens are cut into leaves of some hundred characters at places where every tokenization
-has a boundary: before a single space that follows a character other than white space and precedes
-a letter. A segment tree holds characters and tokens of every subtree. An edit re-encodes the
-leaves that it touches, with neighbours while their common edge is no safe boundary any more, and
+A document's pre-tokens are gathered into leaves of some hundred characters, cut where the scan of ``bpe`` says that
+a pre-token begins and no white space stands before: texts on both sides then have the pre-tokens of
+the whole, in any script. A segment tree holds characters and tokens of every subtree. An edit re-encodes the
+leaves that it touches, with neighbours while their common edge is no such place any more, and
 updates the sums above them.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import slices
+from .bpe import SCAN, chunks, cuts, encoder, is_cut, slices
 from .common import in_arrow
-from .secrets import _encoder
 
 LEAF = 512
-_SAFE = re.compile(r"(?<=\S) (?=[A-Za-z])")
-
 
 def cut(text: str, leaf: int = LEAF) -> list[str]:
     """Leaves of about ``leaf`` characters or more that can be encoded one by one."""
-    out, at = [], 0
-    while len(text) - at > leaf:
-        m = _SAFE.search(text, at + leaf)
-        if m is None:
-            break
-        out.append(text[at : m.start()])
-        at = m.start()
-    out.append(text[at:])
+    out = []
+    for part in chunks(text, SCAN):
+        at, places = 0, cuts(part) if len(part) > leaf else ()
+        while len(part) - at > leaf and (k := int(np.searchsorted(places, at + leaf))) < len(places):
+            out.append(part[at : places[k]])
+            at = int(places[k])
+        out.append(part[at:])
     return out
 
 
-def _joint(left: str, right: str) -> bool:
-    """Whether the edge between two texts may lie inside a pre-token."""
-    return bool(left) and bool(right) and not (len(right) > 1 and right[0] == " " and right[1].isascii() and right[1].isalpha() and not left[-1].isspace())
-
-
 class EditableCount:
     """A text under edits, with its token count at hand."""
 
@@ -95,9 +86,9 @@ class EditableCount:
         middle = self.leaves[first][:a] + inserted + self.leaves[last][b:]
         while True:  # boundary context
             before, after = self._near(first, -1), self._near(last, 1)
-            if before is not None and (not middle or _joint(self.leaves[before], middle)):
+            if before is not None and (not middle or not is_cut(self.leaves[before], middle)):
                 first, middle = before, self.leaves[before] + middle
-            elif after is not None and (not middle or _joint(middle, self.leaves[after])):
+            elif after is not None and (not middle or not is_cut(middle, self.leaves[after])):
                 last, middle = after, middle + self.leaves[after]
             else:
                 break
@@ -132,8 +123,8 @@ def edited_counts(docs: DataFrame, ranks_path: str, edits_col: str = "edits", id
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks_path)
-        count = lambda text: len(encoder.encode_ordinary(text))
+        encode = encoder(ranks_path).encode
+        count = lambda text: len(encode(text))
         names = ["doc_id", "n_tokens", "edited_tokens", "n_chars", "edited_chars", "encoded_chars", "n_edits"]
         for batch in batches:
             for part in slices(batch):
