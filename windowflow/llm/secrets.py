@@ -3,14 +3,13 @@
 A vocabulary made from natural text needs few tokens for words and identifiers but about one for every two
 characters of a random string. Candidates are unbroken runs of key-like characters with letters and
 digits, or of letters alone; those with few characters per token are secrets, unless they are known digests
-(hexadecimal of a digest's length), UUIDs, or identifiers made of words. What a word is the vocabulary says,
+(hexadecimal of a digest's length), UUIDs, dates and times, or identifiers made of words. What a word is the vocabulary says,
 not its look: random small letters stand in rows too. A run that isn't random as a whole, as a path, is
 judged by its pieces between / + _ - again.
 """
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -18,17 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import load_ranks, slices
+from .bpe import encoder, slices
 from .common import in_arrow
 
 # fixed values: kinds in the order in which equal starts are listed, and their patterns
 KINDS = ("assign", "access", "hex", "random")
-_KEY = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are disjoint, so shorter ones can be left out at once
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+#: Dates and times as file names and logs write them: a known kind of identifier.
+MOMENT = re.compile(r"(?:19|20)\d\d[-_/]?[01]\d[-_/]?[0-3]\d(?:[Tt_-]?[0-2]\d(?:[-_]?[0-5]\d){1,2}(?:[-_]?\d{1,9})?)?(?:[Zz]|[+-][01]\d[0-5]\d|[A-Z]{3,4})?")
 HEXADECIMAL = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 #: Hexadecimal digits of the usual digests (MD5, SHA-1, SHA-2).
 DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
@@ -69,7 +69,7 @@ def _random(run: str, tokens_of, least_ratio: float) -> bool:
         if not run.rstrip("=").isalpha() or len(set(run)) < LETTERS_DISTINCT:
             return False
         least_ratio *= LETTERS_FACTOR
-    if UUID.fullmatch(run) or HEXADECIMAL.fullmatch(run) and len(run) in DIGESTS:
+    if UUID.fullmatch(run) or MOMENT.fullmatch(run) or HEXADECIMAL.fullmatch(run) and len(run) in DIGESTS:
         return False
     return len(run) < least_ratio * len(tokens_of(run)) and not _identifier(run, tokens_of)
 
@@ -110,14 +110,6 @@ def random_spans(text: str, tokens_of, least_ratio: float) -> list[tuple[int, in
     return found
 
 
-@functools.lru_cache(2)
-def _encoder(path: str):
-    import tiktoken
-
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("secrets", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
-
-
 def scan_secrets(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", least_ratio: float = 2.2) -> DataFrame:
     """doc_id and spans, array of (kind, start, end) by start and kind, for every row of ``docs``.
 
@@ -127,7 +119,7 @@ def scan_secrets(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens_of = _tokens(ranks_path)
+        tokens_of = encoder(ranks_path).tokens
         kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
         for batch in batches:
             for part in slices(batch):
@@ -142,11 +134,6 @@ def scan_secrets(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_
     )
 
 
-def _tokens(ranks_path: str):
-    encoder = _encoder(ranks_path)
-    return lambda run: encoder.decode_tokens_bytes(encoder.encode_ordinary(run))
-
-
 def all_spans(text: str, tokens_of, least_ratio: float) -> list[tuple[int, int, int]]:
     return sorted(base_spans(text) + random_spans(text, tokens_of, least_ratio))
 
@@ -159,7 +146,7 @@ def redact_secrets(docs: DataFrame, ranks_path: str, text_col: str = "text", lea
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens_of = _tokens(ranks_path)
+        tokens_of = encoder(ranks_path).tokens
         for batch in batches:
             for part in slices(batch):
                 texts = [None if t is None else _redacted(t, all_spans(t, tokens_of, least_ratio), mark) for t in part.column(at).to_pylist()]
