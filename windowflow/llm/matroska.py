@@ -4,7 +4,7 @@ A payload is stored as 8-bit mono PCM samples: 1024 samples a frame, up to eight
 SimpleBlock, blocks in clusters of about four seconds, a cue for every cluster. The reader parses any
 file of EBML elements with variable-length ids and sizes (unknown sizes too), clusters, SimpleBlocks and
 BlockGroups with Xiph, EBML, fixed-size or no lacing, and cues into a table of packets with
-timestamps, tracks and byte ranges.
+timestamps, tracks and byte ranges. Timestamps are milliseconds, whatever the file's TimestampScale.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from .common import in_arrow
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 EBML_VERSION, EBML_READ_VERSION, MAX_ID, MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 TIMESTAMP_SCALE, DURATION, MUXER, WRITER = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
+DEFAULT_DURATION, BLOCK_DURATION = 0x23E383, 0x9B
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, LACING, CODEC, AUDIO, RATE, CHANNELS, DEPTH = 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
@@ -147,6 +148,8 @@ def _cluster_end(data: bytes, at: int, end: int) -> int:
         if ident in _TOP:
             return at
         n, body = _vint(data, body, False)
+        if n < 0 or body + n > end:
+            raise ValueError(f"element {ident:x} ends behind its parent")
         at = body + n
     return end
 
@@ -191,69 +194,121 @@ def _frames(data: bytes, at: int, end: int) -> tuple[int, int, int, list[tuple[i
 
 
 class Media(NamedTuple):
+    """Packets; cues (timestamp, track, place of the cluster); tracks (number, type, codec); duration; all times in ms."""
+
     packets: list[Packet]
     cues: list[tuple[int, int, int]]
     tracks: list[tuple[int, int, str]]
     duration: float
 
 
+class _Track(NamedTuple):
+    number: int
+    kind: int
+    codec: str
+    frame_ms: float | None
+    bytes_per_ms: float | None
+
+    def lasts(self, length: int) -> float:
+        """Milliseconds of a frame of that many bytes; 0 if the track doesn't say."""
+        if self.frame_ms is not None:
+            return self.frame_ms
+        return length / self.bytes_per_ms if self.bytes_per_ms else 0.0
+
+
+def _number(data: bytes, at: tuple[int, int]) -> int:
+    return int.from_bytes(data[at[0] : at[1]], "big")
+
+
+def _float(data: bytes, at: tuple[int, int]) -> float:
+    """Floats have four or eight bytes, or none for 0."""
+    raw = data[at[0] : at[1]]
+    if len(raw) not in (0, 4, 8):
+        raise ValueError(f"a float of {len(raw)} bytes")
+    return struct.unpack(">d" if len(raw) == 8 else ">f", raw)[0] if raw else 0.0
+
+
+def _fields(data: bytes, at: tuple[int, int]) -> dict[int, tuple[int, int]]:
+    """The last element of each id."""
+    return {k: (a, b) for k, a, b in _elements(data, *at)}
+
+
+def _track(data: bytes, at: tuple[int, int]) -> _Track:
+    own = _fields(data, at)
+    codec = data[slice(*own[CODEC])].rstrip(b"\0").decode()
+    each = _number(data, own[DEFAULT_DURATION]) / 1e6 if DEFAULT_DURATION in own else None
+    rate = None
+    if AUDIO in own and codec.startswith("A_PCM"):
+        audio = _fields(data, own[AUDIO])
+        depth = _number(data, audio[DEPTH]) if DEPTH in audio else 8
+        rate = (_float(data, audio[RATE]) if RATE in audio else 8000.0) * (_number(data, audio[CHANNELS]) if CHANNELS in audio else 1) * depth / 8000
+    return _Track(_number(data, own[TRACK_NUMBER]), _number(data, own[TRACK_TYPE]), codec, each, rate)
+
+
 def read(data: bytes) -> Media:
-    """Everything that the reader knows about a file; cues are (timestamp, track, place of the cluster).
+    """Everything that the reader knows about a file.
 
-    Frames of a lace share the block's timestamp, and those that follow add a frame's length in time if
-    the track's sample rate is known. Raises ValueError for a damaged file or a cue to no cluster.
+    Frames of a lace share the block's timestamp; those that follow add the frames' time, as the block's own
+    duration, the track's default duration or the rate of plain samples tells it, in this order. Raises ValueError for
+    whatever doesn't follow the format, and for a cue to no cluster.
     """
+    try:
+        return _read(data)
+    except (IndexError, KeyError, StopIteration, UnicodeDecodeError, struct.error) as e:
+        raise ValueError(f"damaged file: {type(e).__name__} {e}") from e
+
+
+def _read(data: bytes) -> Media:
     packets: list[Packet] = []
     cues: list[tuple[int, int, int]] = []
-    tracks: list[tuple[int, int, str]] = []
-    duration, clusters = 0.0, set()
-    number = lambda s, e: int.from_bytes(data[s:e], "big")
+    tracks: list[_Track] = []
+    duration = 0.0
     for top, s0, e0 in _elements(data, 0, len(data)):
         if top != SEGMENT:
             continue
-        rates: dict[int, float] = {}
-        place = s0
+        scale, by_number, clusters, place = 1.0, {}, set(), s0  # scale: ms of a tick
+        own_cues = []
         for ident, s, e in _elements(data, s0, e0):
             if ident == INFO:
-                duration = next((struct.unpack(">d" if b - a == 8 else ">f", data[a:b])[0] for i, a, b in _elements(data, s, e) if i == DURATION), 0.0)
+                info = _fields(data, (s, e))
+                scale = _number(data, info[TIMESTAMP_SCALE]) / 1e6 if TIMESTAMP_SCALE in info else 1.0
+                duration = _float(data, info[DURATION]) * scale if DURATION in info else 0.0
             elif ident == TRACKS:
-                for i, a, b in _elements(data, s, e):
-                    if i == TRACK_ENTRY:
-                        own = {k: (x, y) for k, x, y in _elements(data, a, b)}
-                        track = number(*own[TRACK_NUMBER])
-                        tracks.append((track, number(*own[TRACK_TYPE]), data[slice(*own[CODEC])].decode()))
-                        if AUDIO in own:
-                            audio = {k: (x, y) for k, x, y in _elements(data, *own[AUDIO])}
-                            if RATE in audio and data[slice(*own[CODEC])] == b"A_PCM/INT/LIT":
-                                width = number(*audio[CHANNELS]) * number(*audio[DEPTH]) / 8 if CHANNELS in audio and DEPTH in audio else 1
-                                rates[track] = struct.unpack(">d", data[slice(*audio[RATE])])[0] * width / 1000
+                found = [_track(data, (a, b)) for i, a, b in _elements(data, s, e) if i == TRACK_ENTRY]
+                tracks += found
+                by_number |= {t.number: t for t in found}
             elif ident == CLUSTER:
-                at = 0
                 clusters.add(place - s0)
-                for i, a, b in _elements(data, s, e):
-                    if i == TIMESTAMP:
-                        at = number(a, b)
-                        continue
-                    blocks = [(a, b)] if i == SIMPLE_BLOCK else [(x, y) for k, x, y in _elements(data, a, b) if k == BLOCK] if i == BLOCK_GROUP else []
-                    for a, b in blocks:
-                        track, relative, lacing, ranges = _frames(data, a, b)
-                        when = at + relative
-                        for start, length in ranges:
-                            packets.append(Packet(track, round(when), start, length, place - s0, lacing))
-                            when += length / rates[track] if track in rates else 0
+                packets += _cluster(data, s, e, place - s0, scale, by_number)
             elif ident == CUES:
-                for i, a, b in _elements(data, s, e):
-                    if i == CUE_POINT:
-                        own = list(_elements(data, a, b))
-                        when = next(number(x, y) for k, x, y in own if k == CUE_TIME)
-                        for k, x, y in own:
-                            if k == CUE_POSITIONS:
-                                where = {j: number(p, q) for j, p, q in _elements(data, x, y)}
-                                cues.append((when, where[CUE_TRACK], where[CUE_CLUSTER]))
+                for _, a, b in (x for x in _elements(data, s, e) if x[0] == CUE_POINT):
+                    own = list(_elements(data, a, b))
+                    when = next(_number(data, (x, y)) for k, x, y in own if k == CUE_TIME)
+                    for where in (_fields(data, (x, y)) for k, x, y in own if k == CUE_POSITIONS):
+                        own_cues.append((round(when * scale), _number(data, where[CUE_TRACK]), _number(data, where[CUE_CLUSTER])))
             place = e
-    if any(c not in clusters for _, _, c in cues):
-        raise ValueError("a cue points to no cluster")
-    return Media(packets, cues, tracks, duration)
+        if any(c not in clusters for _, _, c in own_cues):
+            raise ValueError("a cue points to no cluster")
+        cues += own_cues
+    return Media(packets, cues, [t[:3] for t in tracks], duration)
+
+
+def _cluster(data: bytes, s: int, e: int, place: int, scale: float, tracks: dict[int, _Track]) -> Iterator[Packet]:
+    at = 0
+    for ident, a, b in _elements(data, s, e):
+        if ident == TIMESTAMP:
+            at = _number(data, (a, b))
+        if ident not in (SIMPLE_BLOCK, BLOCK_GROUP):
+            continue
+        own = _fields(data, (a, b)) if ident == BLOCK_GROUP else {BLOCK: (a, b)}
+        if BLOCK not in own:
+            continue
+        track, relative, lacing, ranges = _frames(data, *own[BLOCK])
+        when = (at + relative) * scale
+        each = _number(data, own[BLOCK_DURATION]) * scale / len(ranges) if BLOCK_DURATION in own else None
+        for start, length in ranges:
+            yield Packet(track, round(when), start, length, place, lacing)
+            when += each if each is not None else tracks[track].lasts(length) if track in tracks else 0.0
 
 
 def payload_of(data: bytes, media: Media, track: int = 1) -> bytes:
@@ -268,8 +323,8 @@ def features(payload: bytes, media: Media) -> str:
     entropy = float(-(share * np.log2(share)).sum())
     return (
         f"packets={len(media.packets)};clusters={len({p.cluster for p in media.packets})};cues={len(media.cues)};"
-        f"laced={sum(p.lacing > 0 for p in media.packets)};ms={round(media.duration)};mean={samples.mean():.4f};"
-        f"std={samples.std():.4f};entropy={entropy:.4f}"
+        f"laced={sum(p.lacing > 0 for p in media.packets)};ms={round(media.duration)};mean={samples.mean() if len(samples) else 0:.4f};"
+        f"std={samples.std() if len(samples) else 0:.4f};entropy={entropy:.4f}"
     )
 
 
@@ -295,7 +350,11 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def read_media(stored: DataFrame, media_col: str = "media") -> DataFrame:
-    """``stored`` with payload (binary) and feature (string) read from its media; null media give nulls."""
+    """``stored`` with payload (binary) and feature (string) read from its media; null media give nulls.
+
+    A damaged file gives a null payload and the feature ``damaged: `` with the reason; it doesn't end the job. A file without
+    packets of track 1 gives an empty payload. No rows give no rows; other columns are kept.
+    """
     at = stored.columns.index(media_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,9 +362,16 @@ def read_media(stored: DataFrame, media_col: str = "media") -> DataFrame:
             for part in slices(batch):
                 payloads, said = [], []
                 for data in part.column(at).to_pylist():
-                    media = None if data is None else read(data)
-                    payloads.append(None if media is None else payload_of(data, media))
-                    said.append(None if media is None else features(payloads[-1], media))
+                    payload = feature = None
+                    if data is not None:
+                        try:
+                            media = read(data)
+                            payload = payload_of(data, media)
+                            feature = features(payload, media)
+                        except ValueError as e:
+                            feature = f"damaged: {e}"
+                    payloads.append(payload)
+                    said.append(feature)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(payloads, pa.binary()), pa.array(said, pa.string())], [*part.schema.names, "payload", "feature"]
                 )
@@ -315,12 +381,21 @@ def read_media(stored: DataFrame, media_col: str = "media") -> DataFrame:
 
 
 def packet_table(stored: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row per packet: id, packet, track, timestamp (ms), start, length (bytes of the file), cluster, lacing."""
+    """One row per packet: id, packet, track, timestamp (ms), start, length (bytes of the file), cluster, lacing.
+
+    Null, empty and damaged media have no packets; ``read_media`` says what is wrong with a damaged file.
+    """
+
+    def packets(data: bytes | None) -> list[Packet]:
+        try:
+            return [] if data is None else read(data).packets
+        except ValueError:
+            return []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 64):
-                rows = [(i, k, *p) for i, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if data is not None for k, p in enumerate(read(data).packets)]
+                rows = [(i, k, *p) for i, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for k, p in enumerate(packets(data))]
                 columns = list(zip(*rows, strict=True)) or [[]] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names)
 
