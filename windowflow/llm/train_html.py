@@ -1,7 +1,8 @@
 """Trains the block labeller on generated pages: python -m windowflow.llm.train_html
 
 Pages are made from templates that vary the containers, class words, nesting, order and sloppiness of
-markup. Their words are random syllables, so that only structure, lengths and a few ratios can tell.
+markup. Most of their words are random syllables, so that structure, lengths and a few ratios tell; the usual words
+of menus, notices, adverts, forms and comments stand in half the blocks of such parts, and now and then in the article.
 """
 
 from __future__ import annotations
@@ -26,15 +27,33 @@ JUNK = {
     "share": "share social sharing follow buttons byline-links".split(),
 }
 GOOD = "article content post entry story main body text article-body post-content entry-content main-content page container wrapper".split()
+#: Words that such parts use in many pages.
+PHRASES = {
+    "nav": "home about contact menu news archive next previous page search skip to content login",
+    "header": "welcome home menu search login since official site",
+    "footer": "copyright all rights reserved privacy policy terms of use imprint powered by contact",
+    "aside": "related read more popular latest posts tags categories trending recommended also archive",
+    "notice": "we use cookies to improve your experience accept this site uses agree learn more settings consent",
+    "ad": "advertisement sponsored buy now sale offer limited discount promo shop order today free",
+    "form": "subscribe newsletter email address sign up your name send submit enter search join",
+    "comments": "comments reply leave a comment says replied ago report share thanks great post agree",
+    "share": "share tweet follow us print email this like on pin it",
+}
 SYLLABLES = "an ba ci do er fu ga he in ja ko le mi no ou pa qui ra se ti un ve wa xi yo zu st nd th".split()
 
 
 class Maker:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.part = ""
 
     def words(self, lo: int, hi: int) -> str:
         r = self.r
+        if self.part and r.random() < 0.5 or not self.part and r.random() < 0.02:
+            usual = PHRASES[self.part or r.choice([*PHRASES])].split()
+            at = r.randrange(len(usual))
+            out = (usual * 2)[at : at + r.randint(lo, max(lo, min(hi, 12)))]
+            return " ".join(out).capitalize() + r.choice(("", "."))
         out = ["".join(r.choices(SYLLABLES, k=r.randint(1, 3))) + ("," if r.random() < 0.08 else "." if r.random() < 0.1 else "") for _ in range(r.randint(lo, hi))]
         if r.random() < 0.05:
             out = [w + r.choice(("***", "&amp;&amp;&amp;", "%%%", "$$$", "###")) for w in out]
@@ -71,6 +90,12 @@ class Maker:
         return f"<p>{self.sentence(good, *((1, 6) if r.random() < 0.25 else (5, 120)))}</p>"
 
     def junk(self, kind: str) -> str:
+        around, self.part = self.part, kind
+        out = self._junk(kind)
+        self.part = around
+        return out
+
+    def _junk(self, kind: str) -> str:
         r = self.r
         name = r.choice(JUNK[kind])
         attr = r.choice((f'class="{name}"', f'id="{name}"', f'class="{name} {r.choice(("box", "wide", "dark", "left", "col", "block"))}"', f"class={name}"))
@@ -119,6 +144,7 @@ class Maker:
         r.shuffle(before)
         r.shuffle(after)
         if r.random() < 0.7:
+            self.part = "footer"
             after.append(f"<footer>{self.sentence(False, 2, 14)}</footer>")
         end = r.choice(("</body></html>", ""))
         return "<!DOCTYPE html><html><head><title>x</title></head><body>" + r.choice(("", "<!-- ad -->")).join([*before, main, *after]) + end
