@@ -2,23 +2,25 @@
 
 Base rules count words, symbols, repeated lines and repeated words. The method transforms a document's
 statistics to a vector of four numbers and, per language and source, estimates its centre and covariance
-by a minimum covariance determinant: from coordinate medians and spreads, concentration steps refit
-both on the three quarters of the documents with the smallest Mahalanobis distances. Documents far
-from the final estimate on the bad side are rejected.
-
-A group may hold a third of all rows. No step gathers a group: medians and the three-quarter cut come from
-counts of values on a fixed grid, centres and covariances from sums, all combined before the shuffle,
-and groups' estimates reach the documents through a join on group and salt.
+by the minimum covariance determinant: from several starts (medians with quartile spreads, with the correlation of
+squashed values, with spatial signs, and plain moments), concentration steps refit centre and covariance on the three
+quarters of the documents with the smallest Mahalanobis distances, until no determinant shrinks any more; the start that ends with the
+smallest determinant counts. A document is rejected if its squared distance is beyond a quantile of chi-square.
+
+A group may hold a third of all rows. No step gathers a group: medians come from counts of values on a fixed
+grid, and a concentration step is one pass that sums moments per group, start and distance on a fixed grid, all
+combined before the shuffle. Groups' estimates reach the documents through a join on group and salt.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, bounded, durable
+from .common import WS, bounded, durable, release
 
 #: The statistic vector.
 FEATURES = ("word_length", "symbols", "dup_lines", "repeats")
@@ -28,9 +30,11 @@ FLOORS = (0.1, 0.1, 0.08, 0.1)
 CHI_SQUARE = 18.467
 #: Words that count as one observation of a repeat: repeats come as passages of about a line.
 PASSAGE = 9
-#: Steps of the grids on which medians and distances are counted.
-GRID, DISTANCES = 256, 32
+#: Steps of the grids on which medians, and logarithms of distances, are counted.
+GRID, DISTANCES = 256, 64
 SALTS = 64
+#: Concentration steps of all starts, starts that go on, and the decrease of a log-determinant that counts as none.
+FIRST_STEPS, BEST, STILL = 2, 2, 1e-3
 
 
 def _let(value: Column, body) -> Column:
@@ -45,9 +49,7 @@ def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def repeated(w: Column) -> Column:
         n = F.size(w)
-        windows = F.transform(
-            F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))
-        )
+        hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
         def starts(s: Column) -> Column:  # s: windows by hash and position
             hit = F.filter(s, lambda x, k: (F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False))) | (F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))))
@@ -61,7 +63,11 @@ def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 lambda a: a["n"],
             )
 
-        return F.when(n < 4, F.lit(0)).otherwise(_let(_let(F.array_sort(windows), starts), covered))
+        def of(h: Column) -> Column:  # most texts repeat nothing, and need no sorting to see that
+            placed = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+            return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_let(_let(F.array_sort(placed), starts), covered))
+
+        return F.when(n < 4, F.lit(0)).otherwise(_let(hashes, of))
 
     counted = _let(words, lambda w: F.struct(F.size(w).alias("n_words"), repeated(w).alias("n_repeat_words")))
     lines = _let(
@@ -105,7 +111,7 @@ def _given(rows: DataFrame, estimates: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(copies, [*keys, "salt"])
 
 
-def _distance(prefix: str = "") -> Column:
+def _distance() -> Column:
     """Squared Mahalanobis distance from the columns of a Cholesky factor and a centre."""
     y: list[Column] = []
     for i, name in enumerate(FEATURES):
@@ -114,30 +120,142 @@ def _distance(prefix: str = "") -> Column:
     return reduce(lambda a, b: a + b, (v * v for v in y))
 
 
-def _fit(rows: DataFrame, keys: list[str], scale: float) -> DataFrame:
-    """Centre and Cholesky factor of the covariance of each group, from sums."""
-    pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
-    sums = rows.groupBy(*keys).agg(
-        *[F.avg(x).alias(f"m{i}") for i, x in enumerate(FEATURES)],
-        *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"s{i}{j}") for i, j in pairs],
-    )
-    for i, j in pairs:
-        spread = F.col(f"s{i}{j}") * scale + (F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0))
+_N = len(FEATURES)
+_PAIRS = [(i, j) for i in range(_N) for j in range(i + 1)]
+_ESTIMATE = [f"m{i}" for i in range(_N)] + [f"l{i}{j}" for i, j in _PAIRS] + ["det"]
+
+
+def consistency(share: float) -> float:
+    """What the covariance of the nearest ``share`` of four normal coordinates must be multiplied by to be that of all.
+
+    The distribution function of chi-square with 2k degrees has a closed form.
+    """
+
+    def below(q: float, k: int) -> float:
+        return 1 - math.exp(-q / 2) * sum((q / 2) ** i / math.factorial(i) for i in range(k))
+
+    lo, hi = 0.0, 1000.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if below(mid, _N // 2) < share else (lo, mid)
+    return share / below(lo, _N // 2 + 1)
+
+
+def _factored(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and an estimate from centres m_i and covariances s_ij: the Cholesky factor and the log-determinant; no deviation is below its floor."""
+    for i, j in _PAIRS:
+        spread = F.col(f"s{i}{j}") + (F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0))
         rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), spread)
         sums = sums.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2))) if i == j else rest / F.col(f"l{j}{j}"))
-    return sums.drop(*[f"s{i}{j}" for i, j in pairs])
+    return sums.withColumn("det", sum((2 * F.log(f"l{i}{i}") for i in range(_N)), F.lit(0.0))).select(*keys, *_ESTIMATE)
+
+
+def _marks(rows: DataFrame) -> DataFrame:
+    """g, medians m_i and quartile spreads d_i, one coordinate at a time."""
+    stacked = rows.select("g", F.posexplode(F.array(*FEATURES)).alias("f", "x")).select("g", "f", F.floor(F.col("x") * GRID).alias("x"))
+    counts = stacked.groupBy("g", "f", "x").count()
+    ordered = counts.groupBy("g", "f").agg(F.array_sort(F.collect_list(F.struct("x", "count"))).alias("v"), F.sum("count").alias("n"))
+
+    def quantile(share: float) -> Column:
+        return F.aggregate(
+            "v",
+            F.struct(F.lit(None).cast("long").alias("at"), F.lit(0).cast("long").alias("n")),
+            lambda a, x: F.struct(F.when(a["n"] >= share * F.col("n"), a["at"]).otherwise(x["x"].cast("long")).alias("at"), (a["n"] + x["count"]).alias("n")),
+            lambda a: (a["at"] + 0.5) / GRID,
+        )
+
+    marks = ordered.select("g", "f", quantile(0.5).alias("m"), ((quantile(0.75) - quantile(0.25)) / 1.349).alias("s"))
+    pick = lambda name, i, least: F.max(F.when(F.col("f") == i, F.greatest(name, F.lit(least))))
+    return marks.groupBy("g").agg(
+        *[pick("m", i, -1e9).alias(f"m{i}") for i in range(_N)], *[pick("s", i, FLOORS[i]).alias(f"d{i}") for i in range(_N)]
+    )
 
 
-def _cut(counts: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
-    """The least grid value with at least that share of its group's rows at or below it."""
-    total = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(value, "count"))).alias("v"), F.sum("count").alias("n"))
-    seen = F.aggregate(
-        "v",
-        F.struct(F.lit(None).cast("long").alias("at"), F.lit(0).cast("long").alias("n")),
-        lambda a, x: F.struct(F.when(a["n"] >= share * F.col("n"), a["at"]).otherwise(x[value].cast("long")).alias("at"), (a["n"] + x["count"]).alias("n")),
-        lambda a: a["at"],
+def _starts(rows: DataFrame) -> DataFrame:
+    """(g, start) with four first estimates, from the medians and one pass of moments."""
+    marks = durable(_marks(rows))
+    z = [(F.col(x) - F.col(f"m{i}")) / F.col(f"d{i}") for i, x in enumerate(FEATURES)]
+    flat = [F.tanh(v) for v in z]
+    length = F.sqrt(reduce(lambda a, b: a + b, (v * v for v in z)))
+    sign = [F.when(length > 0, v / length).otherwise(0.0) for v in z]
+    at = _given(rows, marks, ["g"]).select("g", *FEATURES, *[v.alias(f"t{i}") for i, v in enumerate(flat)], *[v.alias(f"y{i}") for i, v in enumerate(sign)])
+    moments = at.groupBy("g").agg(
+        *[F.avg(x).alias(f"a{i}") for i, x in enumerate(FEATURES)],
+        *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}{j}") for i, j in _PAIRS],
+        *[F.covar_pop(f"t{i}", f"t{j}").alias(f"t{i}{j}") for i, j in _PAIRS],
+        *[F.avg(F.col(f"y{i}") * F.col(f"y{j}")).alias(f"y{i}{j}") for i, j in _PAIRS],
     )
-    return total.select(*keys, seen.alias("cut"))
+    moments = moments.join(marks, "g").withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    s = F.col("start")
+    spread = lambda i, j: F.col(f"d{i}") * F.col(f"d{j}")
+    tanh = lambda i, j: F.coalesce(F.try_divide(F.col(f"t{i}{j}"), F.sqrt(F.col(f"t{i}{i}") * F.col(f"t{j}{j}"))), F.lit(0.0))
+    centre = [F.when(s == 3, F.col(f"a{i}")).otherwise(F.col(f"m{i}")).alias(f"m{i}") for i in range(_N)]
+    spreads = [
+        F.when(s == 0, spread(i, j) if i == j else F.lit(0.0)).when(s == 1, spread(i, j) * (tanh(i, j) if i != j else 1.0))
+        .when(s == 2, spread(i, j) * F.col(f"y{i}{j}") * _N).otherwise(F.col(f"c{i}{j}")).alias(f"s{i}{j}")
+        for i, j in _PAIRS
+    ]
+    out = durable(_factored(moments.select("g", "start", *centre, *spreads), ["g", "start"]))
+    release(marks)
+    return out
+
+
+def _concentrated(rows: DataFrame, estimates: DataFrame, share: float) -> DataFrame:
+    """The estimates after one concentration step, from one pass over the rows.
+
+    Moments around the old centres are summed for every step of a fixed grid of distances; those of the steps that
+    hold the nearest ``share`` of a group give its new estimate.
+    """
+    moved = [F.col(x) - F.col(f"m{i}") for i, x in enumerate(FEATURES)]
+    at = _given(rows, estimates, ["g"]).withColumn("bin", F.floor(F.log1p(_distance()) * DISTANCES))
+    sums = {"n": F.count(F.lit(1))} | {f"a{i}": F.sum(moved[i]) for i in range(_N)} | {f"s{i}{j}": F.sum(moved[i] * moved[j]) for i, j in _PAIRS}
+    centre = [f"m{i}" for i in range(_N)]
+    steps = at.groupBy("g", "start", "bin").agg(*[c.alias(k) for k, c in sums.items()], *[F.first(c).alias(c) for c in centre])
+    own = Window.partitionBy("g", "start")
+    before = F.coalesce(F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = steps.withColumn("before", before).withColumn("all", F.sum("n").over(own)).filter(F.col("before") < share * F.col("all"))
+    total = near.groupBy("g", "start").agg(*[F.sum(k).alias(k) for k in sums], *[F.first(c).alias(c) for c in centre])
+    mean = [F.col(f"a{i}") / F.col("n") for i in range(_N)]
+    spreads = [((F.col(f"s{i}{j}") / F.col("n") - mean[i] * mean[j]) * consistency(share)).alias(f"s{i}{j}") for i, j in _PAIRS]
+    return durable(_factored(total.select("g", "start", *[(F.col(c) + mean[i]).alias(c) for i, c in enumerate(centre)], *spreads), ["g", "start"]))
+
+
+def _smallest(estimates: DataFrame, n: int) -> DataFrame:
+    """The ``n`` starts of every group with the smallest determinants, of equal ones the first."""
+    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.round("det", 9), "start"))
+    return durable(estimates.withColumn("rank", rank).filter(F.col("rank") <= n).drop("rank"))
+
+
+def least_determinant(rows: DataFrame, share: float = 0.75) -> DataFrame:
+    """g, centre m_i, Cholesky factor l_ij and log-determinant of every group of ``rows`` (g, salt and the features).
+
+    An estimate gives way to the next one only if that has a smaller determinant, so the steps come to an end.
+    """
+    now, step = _starts(rows), 0
+    while True:
+        if step == FIRST_STEPS:
+            every, now = now, _smallest(now, BEST)
+            release(every)
+        step += 1
+        new = _concentrated(rows, now, share)
+        if step <= FIRST_STEPS:  # first estimates needn't be of real subsets, so their determinants say nothing
+            release(now)
+            now = new
+            continue
+        old = now.select("g", "start", *[F.col(c).alias(f"old_{c}") for c in _ESTIMATE])
+        better = F.col("det") < F.col("old_det") - STILL
+        chosen = old.join(new, ["g", "start"]).select(
+            "g", "start", better.alias("better"), *[F.when(better, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in _ESTIMATE]
+        )
+        both = durable(chosen)
+        release(now, new)
+        now = both.drop("better")
+        now._durable_path = both._durable_path
+        if both.filter("better").isEmpty():
+            break
+    out = _smallest(now, 1).drop("start")
+    release(now)
+    return out
 
 
 def robust_outliers(
@@ -147,16 +265,14 @@ def robust_outliers(
     min_words: int = 50,
     max_repeat_percent: int = 50,
     support: float = 0.75,
-    steps: int = 3,
     least_group: int = 50,
     reject_at: float = CHI_SQUARE,
 ) -> DataFrame:
     """Base statistics, base_failed, distance and kept for every row of ``docs``.
 
     Groups are languages and sources, among documents that pass the base rules; those with fewer than
-    ``least_group`` such documents share one pooled group. A document is kept if it passes the base
-    rules and its squared distance is at most ``reject_at`` or nothing in its vector lies on the bad
-    side (more symbols, repeated lines, repeated words, or odd word lengths). A null text counts as
+    ``least_group`` such documents share one pooled group, as their own covariance would say nothing. A document is kept if
+    it passes the base rules and its squared distance is at most ``reject_at``. A null text counts as
     empty and fails the base rules; null languages and sources are a group like any other; a
     repeated row is judged like its first. Missing columns lang or source count as null, further
     columns are dropped, no rows give no rows.
@@ -174,40 +290,7 @@ def robust_outliers(
     rows = rows.join(sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "salt"], "left")
     rows = durable(rows.withColumn("g", F.when(F.col("own"), F.col("g")).otherwise("")).drop("own"))
 
-    # starting point: medians and quartile spreads, one coordinate at a time
-    stacked = rows.select("g", F.posexplode(F.array(*FEATURES)).alias("f", "x")).select("g", "f", F.floor(F.col("x") * GRID).alias("x"))
-    counts = stacked.groupBy("g", "f", "x").count()
-    ordered = counts.groupBy("g", "f").agg(F.array_sort(F.collect_list(F.struct("x", "count"))).alias("v"), F.sum("count").alias("n"))
-
-    def quantile(share: float) -> Column:
-        return F.aggregate(
-            "v",
-            F.struct(F.lit(None).cast("long").alias("at"), F.lit(0).cast("long").alias("n")),
-            lambda a, x: F.struct(F.when(a["n"] >= share * F.col("n"), a["at"]).otherwise(x["x"].cast("long")).alias("at"), (a["n"] + x["count"]).alias("n")),
-            lambda a: (a["at"] + 0.5) / GRID,
-        )
-
-    marks = ordered.select("g", "f", quantile(0.5).alias("m"), ((quantile(0.75) - quantile(0.25)) / 1.349).alias("s"))
-    start = marks.groupBy("g").agg(
-        *[F.max(F.when(F.col("f") == i, F.col("m"))).alias(f"m{i}") for i in range(len(FEATURES))],
-        *[F.max(F.when(F.col("f") == i, F.greatest("s", F.lit(FLOORS[i])))).alias(f"l{i}{i}") for i in range(len(FEATURES))],
-    )
-    estimates = start.select("*", *[F.lit(0.0).alias(f"l{i}{j}") for i in range(len(FEATURES)) for j in range(i)])
-    scale = 1.0
-    for _ in range(steps):
-        at = _given(rows, estimates, ["g"]).withColumn("bin", F.floor(F.log1p(_distance()) * DISTANCES))
-        near = at.select("g", "salt", "bin", *FEATURES)
-        cut = _cut(near.groupBy("g", "bin").count(), ["g"], "bin", support)
-        inner = _given(near, cut, ["g"]).filter(F.col("bin") <= F.col("cut"))
-        # consistency factor of the covariance of the nearest three quarters of four normal coordinates
-        scale = 1.69
-        estimates = durable(_fit(inner, ["g"], scale))
-    bad = reduce(
-        lambda a, b: a | b,
-        [F.col(x) > F.col(f"m{i}") + 2 * F.lit(FLOORS[i]) for i, x in enumerate(FEATURES) if i],
-        F.abs(F.col("word_length") - F.col("m0")) > 4 * F.lit(FLOORS[0]),
-    )
-    judged = _given(rows, estimates, ["g"]).withColumn("distance", _distance()).withColumn("kept", ~((F.col("distance") > reject_at) & bad))
+    judged = _given(rows, least_determinant(rows, support), ["g"]).withColumn("distance", _distance()).withColumn("kept", F.col("distance") <= reject_at)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     failed = stats.filter("base_failed").select(*names, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return judged.select(*names, "distance", "kept").union(failed)
