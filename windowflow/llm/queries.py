@@ -92,6 +92,17 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def base_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op3 that SQL can express."""
+    rows = op3_robust_outliers(spark, sf_dir)
+    return rows.drop("kept")
+
+
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op10 that SQL can express."""
+    return op10_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -103,7 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_minhash_near_dedup, op2_hierarchical_packing, op3_robust_outliers, op4_html_extraction, op5_edit_aware_counts,
         op6_byte_level_bpe, op7_matroska_media, op8_language_id, op9_line_dedup, op10_secret_scans,
     )
-    return {f.__name__: f for f in ops} | {"pipeline": pipeline}
+    return {f.__name__: f for f in (*ops, base_statistics, base_secrets, pipeline)}
 
 
 OP1_SQL = r"""
@@ -138,5 +149,33 @@ FROM k LEFT JOIN g ON g.k = k.k GROUP BY doc_id
 """
 
 
+BASE_STATISTICS_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+s AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT), 0) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM w
+), i AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w),
+k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM i),
+r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM k WHERE n > 1) GROUP BY doc_id),
+a AS (SELECT *, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS again FROM s LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, again AS n_repeat_words, n_words < 50 OR 100 * again > 50 * n_words AS base_failed FROM a
+"""
+
+BASE_SECRETS_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 6)) AS n_assign,
+  len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access,
+  len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex
+FROM d
+""".replace("\\'", "''")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL, "op9_line_dedup": OP9_SQL}
+    return {
+        "op1_minhash_near_dedup": OP1_SQL, "op9_line_dedup": OP9_SQL,
+        "base_statistics": BASE_STATISTICS_SQL, "base_secrets": BASE_SECRETS_SQL,
+    }
