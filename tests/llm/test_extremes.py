@@ -59,7 +59,7 @@ def test_hubs_are_split(spark, monkeypatch):
     skew = "spark.sql.adaptive.skewJoin.skewedPartition"
     low = {
         f"{skew}ThresholdInBytes": "1k", f"{skew}Factor": "1.1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
-        "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "0", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "0", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
     }
     before = {k: spark.conf.get(k, None) for k in low}
     try:
