@@ -10,6 +10,7 @@ from ..operators.core import Aggregate, Project, Select, StaticJoin, ThetaJoin
 from ..operators.window import WindowSpec
 from ..plans.query import Application, Query
 from ..sources import generators
+from ..streaming.bounded import in_files, run_staged, run_to_end
 
 _range, _rows = WindowSpec.range, WindowSpec.rows
 _SEGMENT = ("segment", Ref("position") / 5280)
@@ -95,3 +96,10 @@ def run(spark: SparkSession, name: str, rows: int):
     make, stream = APPS[name]
     app, df = make(spark), stream(spark, rows)
     return next(iter(app.run({q.ident: (df,) * q.inputs for q in app.sources()}).values()))
+
+
+def run_stream(spark: SparkSession, name: str, rows: int, staged: bool = False):
+    """The application's result over that many generated rows that come as a stream of eight files."""
+    make, stream = APPS[name]
+    app, df = make(spark), in_files(spark, stream(spark, rows), "timestamp")
+    return (run_staged if staged else run_to_end)(spark, app, {q.ident: (df,) * q.inputs for q in app.sources()}, 0)

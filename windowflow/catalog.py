@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time as clock
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,15 +10,17 @@ from pyspark.sql import functions as F
 
 from .apps import benchmarks
 from .functions.aggregates import Agg
-from .functions.expressions import Ref
+from .functions.expressions import Const, Ref
 from .functions.stats import column_stats
-from .operators.core import Aggregate, NoOp, Project, Select, StaticJoin, ThetaJoin
+from .operators.core import Aggregate, Custom, NoOp, Project, Select, StaticJoin, ThetaJoin
 from .operators.window import WindowSpec
 from .plans import batch
 from .plans.query import Application, Query
-from .sources import readers
+from .sources import generators, readers, sinks
 from .sources.generators import pick_sql
-from .streaming.bounded import run_in_parts, run_to_end
+from .plans.durable import new_folder
+from .streaming.bounded import add_file, in_files, run_in_parts, run_to_end
+from .streaming.runtime import Runtime
 
 HOUR, DAY = 3600, 86400
 _QUERIES: dict[str, Callable] = {}
@@ -359,7 +362,12 @@ def column_statistics(spark, sf_dir):
 
 
 def _generated(rows: int, columns: str, where: str = "true", at: str = "id // 100") -> str:
-    return f"SELECT {at} AS s, {columns} FROM (SELECT range AS id FROM range({rows})) WHERE {where}"
+    """``rows`` generated rows for every 10,000 events, so that the applications grow with the tables."""
+    return f"SELECT {at} AS s, {columns} FROM (SELECT unnest(range(count(*) * {rows} // 10000)) AS id FROM events) WHERE {where}"
+
+
+def _rows_for(spark: SparkSession, sf_dir: str, rows: int) -> int:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").count() * rows // 10_000
 
 
 def _long_sql(size: int, source: str, keys: str = "") -> str:
@@ -372,7 +380,7 @@ SELECT window_start, window_start + {size} AS window_end{k}, sum(value) / count(
 
 def _app(name: str, rows: int, sql: str) -> None:
     def run(spark, sf_dir):
-        return benchmarks.run(spark, name, rows)
+        return benchmarks.run(spark, name, _rows_for(spark, sf_dir, rows))
 
     run.__name__ = f"app_{name}"
     _register(sql)(run)
@@ -427,12 +435,8 @@ def _first(df: DataFrame, slide: int) -> int | None:
     return None if at is None else at // slide * slide
 
 
-def _event_stream(spark, sf_dir) -> DataFrame:
-    return readers.table_stream(spark, sf_dir, "events.parquet").select(_epoch("ts").alias("s"), "event_id", "user_id", "event_type", "value")
-
-
 def _stream(spark, sf_dir, app: Application, origin: int | None = None) -> DataFrame:
-    df = _event_stream(spark, sf_dir)
+    df = in_files(spark, events(spark, sf_dir), "s")
     return run_to_end(spark, app, {q.ident: (df,) * q.inputs for q in app.sources()}, origin)
 
 
@@ -487,7 +491,7 @@ def stream_sessions(spark, sf_dir):
 
 @_register(f"SELECT {_BOTH} FROM {_L} l JOIN {_R} r ON l.user_id = r.user_id AND l.s - r.s BETWEEN -7200 AND 3600")
 def stream_theta_join(spark, sf_dir):
-    df = _event_stream(spark, sf_dir)
+    df = in_files(spark, events(spark, sf_dir), "s")
     sides = tuple(df.filter(F.col("event_type") == t).drop("event_type") for t in ("click", "view"))
     meet = ThetaJoin(WindowSpec.range(7200), WindowSpec.range(3600), lambda a, b: a("user_id") == b("user_id"))
     return run_to_end(spark, Application([Query(1, [meet], time="s")]), {1: sides})
@@ -504,6 +508,278 @@ def stream_recovery(spark, sf_dir):
     return run_in_parts(spark, lambda: Application([Query(1, [Aggregate(_SIX, [SUM, CNT], [TYPE])])]), parts, _first(df, _SIX.slide))
 
 
+@_register(_theta_rows_sql(32, 48, 1, 1, "l.user_id = r.user_id"))
+def stream_theta_row_join(spark, sf_dir):
+    df = in_files(spark, events(spark, sf_dir), "s")
+    sides = tuple(df.filter(F.col("event_type") == t).drop("event_type") for t in ("click", "view"))
+    meet = ThetaJoin(WindowSpec("rows", 32, 1), WindowSpec("rows", 48, 1), lambda a, b: a("user_id") == b("user_id"))
+    return run_to_end(spark, Application([Query(1, [meet], time="s")]), {1: sides})
+
+
+def _app_stream(name: str, rows: int, sql: str, staged: bool = False) -> None:
+    def run(spark, sf_dir):
+        return benchmarks.run_stream(spark, name, _rows_for(spark, sf_dir, rows), staged)
+
+    run.__name__ = f"stream_{name}"
+    _register(sql)(run)
+
+
+def _grown(name: str, old: int, new: int) -> str:
+    """An application's SQL over another number of rows."""
+    return _SQL[f"app_{name}"].replace(f"* {old} // 10000", f"* {new} // 10000")
+
+
+_app_stream("cm1", 20_000, _grown("cm1", 40_000, 20_000))
+_app_stream("sg3", 14_000, _SQL["app_sg3"])
+_app_stream("lrb3", 4000, _SQL["app_lrb3"], staged=True)
+_app_stream("nbq5", 8000, _grown("nbq5", 40_000, 8000))
+_app_stream("ysb", 250_000, _SQL["app_ysb"])
+
+
+def _counted(delay_days: int = 0) -> str:
+    found = _range_sql(6 * HOUR, 3 * HOUR, f"{_sum('value', 'total')}, count(*) AS n", "event_type")
+    return f"SELECT * FROM ({found}) WHERE window_end <= (SELECT max(s) FROM ({EV})) - {delay_days * DAY}"
+
+
+def _count_six() -> Application:
+    return Application([Query(1, [Aggregate(_SIX, [SUM, CNT], [TYPE])])])
+
+
+@_register(_counted())
+def stream_late_rows(spark, sf_dir):
+    """Rows of the first day come again, a thousand dearer, after all others: they are behind the watermark and don't count.
+
+    Spark drops rows behind the watermark that the batch before the last one had set, so these come two batches late.
+    """
+    df, folder = events(spark, sf_dir), new_folder(spark, "late")
+    first, last = (x or 0 for x in df.agg(F.min("s"), F.max("s")).first())
+    add_file(df.filter(F.col("s") < (first + last) // 2), folder)
+    add_file(df.filter(F.col("s") >= (first + last) // 2), folder)
+    add_file(df.filter(F.col("s") < first + DAY).withColumn("value", F.col("value") + 1000), folder)
+    stream = readers.file_stream(spark, folder, df.schema)
+    return run_to_end(spark, _count_six(), {1: (stream,)}, _first(df, _SIX.slide))
+
+
+@_register(_counted(20))
+def stream_delayed_rows(spark, sf_dir):
+    """Halves of the stream in the wrong order, with a watermark that waits for them: every row counts."""
+    df, folder = events(spark, sf_dir), new_folder(spark, "delayed")
+    lo, hi = (x or 0 for x in df.agg(F.min("s"), F.max("s")).first())
+    add_file(df.filter(F.col("s") >= (lo + hi) // 2), folder)
+    add_file(df.filter(F.col("s") < (lo + hi) // 2), folder)
+    stream = readers.file_stream(spark, folder, df.schema)
+    return run_to_end(spark, _count_six(), {1: (stream,)}, _first(df, _SIX.slide), delay="20 days")
+
+
+@_register(_counted())
+def stream_crash(spark, sf_dir):
+    """The run dies in the middle of a batch, written but not committed; another one recovers from its checkpoint."""
+    df, folder = events(spark, sf_dir), new_folder(spark, "crash")
+    stream, origin = in_files(spark, df, "s"), _first(df, _SIX.slide)
+    for fail_at in (3, None):
+        run = Runtime(spark, _count_six(), f"{folder}/checkpoints", origin=origin)
+        schema = run.plans({1: (stream,)})[1].schema
+        try:
+            run.start({1: (stream,)}, {1: sinks.each_batch(f"{folder}/out", fail_at)})
+            run.wait()
+        except Exception as e:
+            if "failure injected" not in str(e):
+                raise
+        finally:
+            run.stop()
+    return spark.read.schema(schema).parquet(f"{folder}/out/*")
+
+
+@_register(f"SELECT 8 AS batches, count(*) AS n, max(n_file) AS most, true AS ordered FROM ({EV}) CROSS JOIN (SELECT max(n) AS n_file FROM (SELECT count(*) AS n FROM ({EV}), (SELECT min(s) AS lo, max(s) - min(s) + 1 AS w FROM ({EV})) GROUP BY (s - lo) * 8 // w))")
+def stream_rates(spark, sf_dir):
+    """One file a batch into a discarding sink: what the metrics say of rows, batches, and percentiles of latency."""
+    run = Runtime(spark, _count_six(), f"{new_folder(spark, 'rates')}/checkpoints")
+    run.start({1: (in_files(spark, events(spark, sf_dir), "s"),)}, {1: sinks.discard()})
+    run.wait()
+    said = run.metrics.settled(8)
+    run.stop()
+    latency = list(said["latency_ms"].values())
+    return spark.createDataFrame([(said["batches"], said["rows"], said["most_rows"], latency == sorted(latency) and latency[0] > 0)], "batches int, n long, most long, ordered boolean")
+
+
+@_register(f"SELECT s, event_id, value * 2.0 AS v FROM ({EV}) WHERE event_type = 'click'")
+def socket_loop(spark, sf_dir):
+    """Rows from one TCP socket to another, through a selection and a projection."""
+    rows = events(spark, sf_dir).select("s", "event_id", "event_type", "value")
+    wanted = rows.filter("event_type = 'click'").count()
+    feeder, receiver = sinks.Feeder(",".join(map(str, r)) for r in rows.toLocalIterator()), sinks.Receiver()
+    source = readers.socket_stream(spark, "127.0.0.1", feeder.port, "s long, event_id long, event_type string, value double")
+    app = Application([Query(1, [Select(Ref("event_type") == "click"), Project([("event_id", Ref("event_id")), ("v", Ref("value") * 2.0)])])])
+    run = Runtime(spark, app, f"{new_folder(spark, 'socket')}/checkpoints", every="200 milliseconds")
+    try:
+        run.start({1: (source,)}, {1: sinks.tcp("127.0.0.1", receiver.port)})
+        deadline = clock.monotonic() + 120
+        while len(receiver.rows) < wanted and clock.monotonic() < deadline and run.running[0].isActive:
+            clock.sleep(0.2)
+    finally:
+        run.stop()
+        feeder.close()
+        receiver.close()
+    found = [(r["s"], r["event_id"], float(r["v"])) for r in list(receiver.rows.values())]
+    return spark.createDataFrame(found, "s long, event_id long, v double")
+
+
+# --- sources, graphs and descriptions on tables
+
+
+@_register(f"SELECT s + k * 3000000 AS s, event_id, user_id, event_type, value FROM ({EV}), (SELECT unnest(range(3)) AS k)")
+def shifted_replay(spark, sf_dir):
+    """The stream three times, each time 3,000,000 seconds later."""
+    return readers.shifted(events(spark, sf_dir), "s", 3, 3_000_000)
+
+
+@_register(f"SELECT event_type AS kind, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM ({EV}) GROUP BY event_type UNION ALL SELECT 'malformed', 3, 0")
+def text_source(spark, sf_dir):
+    """The events as separated text with three lines that aren't rows: those are counted, not lost in silence."""
+    folder, schema = new_folder(spark, "text"), "s long, event_id long, event_type string, value double"
+    lines = events(spark, sf_dir).select(F.concat_ws(" ", "s", "event_id", "event_type", "value").alias("value"))
+    bad = spark.createDataFrame([("not a row",), ("17 x click 1.0",), ("",)], "value string").replace("", "1 2 click much")
+    lines.unionByName(bad).write.text(folder)
+    rows = readers.text_file(spark, folder, schema).groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    return rows.unionByName(readers.malformed_lines(spark, folder, schema).agg(F.lit("malformed").alias("kind"), F.count("*").alias("n"), F.lit(0).cast("long").alias("ids")))
+
+
+@_register(f"WITH e AS (SELECT id AS s, {pick_sql(1, 1000, 1)} AS a, {pick_sql(2, 1000, 1)} AS b FROM (SELECT unnest(range(count(*))) AS id FROM events)) SELECT s // 100 * 100 AS window_start, s // 100 * 100 + 100 AS window_end, CAST(sum(a) AS DOUBLE) AS total, CAST(max(b) AS INTEGER) AS high FROM e GROUP BY s // 100 HAVING s // 100 * 100 + 100 <= (SELECT max(s) FROM e)")
+def random_source(spark, sf_dir):
+    rows = generators.random_rows(spark, _rows_for(spark, sf_dir, 10_000))
+    return batch.lower(Aggregate(WindowSpec.range(100), [Agg("sum", Ref("attr1"), "total"), Agg("max", "attr2", "high")]), rows)
+
+
+@_register(_range_sql(6 * HOUR, 6 * HOUR, f"{_sum('value', 'total')}, count(*) AS count", "event_type"))
+def trailing_count(spark, sf_dir):
+    return _range(spark, sf_dir, 6 * HOUR, 6 * HOUR, [SUM], keys=[TYPE], count_as="count")
+
+
+@_register(
+    f"""WITH o AS ({_range_sql(1800, 900, "count(*) AS n, max(value) AS high", where="user_id < 4")}), b AS (SELECT min(window_start) AS lo, max(window_start) AS hi FROM o),
+c AS (SELECT unnest(range(lo, hi + 1, 900)) AS window_start FROM b)
+SELECT window_start, window_start + 1800 AS window_end, coalesce(n, 0) AS n, high FROM c LEFT JOIN o USING (window_start)"""
+)
+def calendar_windows(spark, sf_dir):
+    """Ungrouped windows in which nothing happened, on request."""
+    return _range(spark, sf_dir, 1800, 900, [CNT, MAX], where=Ref("user_id") < 4, fill=True)
+
+
+@_register(f"WITH c AS ({_range_sql(6 * HOUR, 3 * HOUR, 'count(*) AS n', 'user_id')}) SELECT 'busy' AS branch, * FROM c WHERE n >= 3 UNION ALL SELECT 'odd', * FROM c WHERE user_id > 100")
+def fan_out(spark, sf_dir):
+    """One query feeds two others; its windows are computed once."""
+    count = Query(1, [Aggregate(_SIX, [CNT], [USER])])
+    busy, odd = Query(2, [Select(Ref("n") >= 3)]), Query(3, [Select(Ref("user_id") > 100)])
+    count.connect_to(busy)
+    count.connect_to(odd)
+    done = Application([count, busy, odd]).run({1: (events(spark, sf_dir),)})
+    return done[2].select(F.lit("busy").alias("branch"), "*").unionByName(done[3].select(F.lit("odd").alias("branch"), "*"))
+
+
+@_register(f"SELECT s, CAST(value + 0.5::FLOAT AS DOUBLE) AS f, event_id + 5000000000 AS l, CAST(1000000000000000000000000000000 + event_id AS VARCHAR) AS w FROM ({EV})")
+def constants(spark, sf_dir):
+    """Constants of every kind: float, long, and one of 128 bits."""
+    cols = [("f", Ref("value") + Const(0.5, "float")), ("l", Ref("event_id") + Const(5_000_000_000, "long")), ("w", Const(10**30, "wide") + Ref("event_id"))]
+    return batch.lower(Project(cols), events(spark, sf_dir)).withColumn("w", F.col("w").cast("decimal(38,0)").cast("string"))
+
+
+@_register(f"SELECT event_type, CAST(hour_ AS INTEGER) AS hour_, count(*) AS n FROM (SELECT event_type, s // 3600 % 24 AS hour_ FROM ({EV})) GROUP BY ALL")
+def custom_operator(spark, sf_dir):
+    """Any function of a DataFrame as an operator of a query."""
+    hours = Custom(lambda df: df.groupBy("event_type", F.floor(F.col("s") / 3600 % 24).cast("int").alias("hour_")).agg(F.count("*").alias("n")), "rows per hour of the day")
+    return Query(1, [Select(Ref("value") == Ref("value")), hours]).lower(events(spark, sf_dir))
+
+
+_PRINTED = {
+    "sum": (Ref(1) + Ref("value"), "(#1 + value)"),
+    "nested": (Ref("a") * 3 - Const(7, "long") / (Ref(2) - 1.5), "((a * 3) - (7:long / (#2 - 1.5)))"),
+    "predicate": ((Ref("k") == "x") & ((Ref(0) >= 4) | (Ref(1) != Ref(2))), "(k == 'x' and (#0 >= 4 or #1 != #2))"),
+    "select": (Select(Ref("speed") < 40), "select speed < 40"),
+    "project": (Project([("b", Ref("a") * 2)]), "project (a * 2) as b"),
+    "aggregate": (Aggregate(WindowSpec.range(60, 1), [Agg("sum", "cpu", "cpu"), Agg("cnt", None, "n")], [("job", "job")]), "aggregate sum(cpu) as cpu, cnt(*) as n by job over range 60/1 in panes"),
+    "join": (ThetaJoin(WindowSpec.rows(8), WindowSpec.rows(4, 2), label="a == b"), "join rows 8/8 with rows 4/2 where a == b"),
+}
+
+
+def _values(rows, names: str) -> str:
+    one = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x).lower()
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) t({names})"
+
+
+@_register(_values([(k, said) for k, (_, said) in _PRINTED.items()], "name, printed"))
+def printed_forms(spark, sf_dir):
+    return spark.createDataFrame([(k, x.describe()) for k, (x, _) in _PRINTED.items()], "name string, printed string")
+
+
+_SHAPES = [(size, slide) for size in (1, 4, 6, 10, 60) for slide in (-1, 0, 1, 4, 6, 7, 60)]
+
+
+@_register(f"SELECT size, slide, CASE WHEN slide > 0 AND slide <= size THEN gcd(size, slide) END AS pane, CASE WHEN slide > 0 AND slide <= size THEN size // gcd(size, slide) END AS panes FROM ({_values(_SHAPES, 'size, slide')})")
+def window_shapes(spark, sf_dir):
+    """Which windows are accepted, and their panes."""
+
+    def shape(size: int, slide: int) -> tuple:
+        try:
+            w = WindowSpec.range(size, slide)
+        except ValueError:
+            return size, slide, None, None
+        return size, slide, w.pane, w.panes
+
+    return spark.createDataFrame([shape(*x) for x in _SHAPES], "size int, slide int, pane int, panes int")
+
+
+@_register(_values([("AVG", "avg", True), ("Sum", "sum", True), ("cnt", "cnt", True), ("MIN", "min", False), ("max", "max", False), ("median", "none", False)], "name, kind, invertible"))
+def aggregate_names(spark, sf_dir):
+    """Aggregates by name, whatever its case, and whether a row can be taken out of their states again."""
+
+    def look(name: str) -> tuple:
+        try:
+            a = Agg(name, "value")
+        except ValueError:
+            return name, "none", False
+        return name, a.kind, a.invertible
+
+    return spark.createDataFrame([look(x) for x in ("AVG", "Sum", "cnt", "MIN", "max", "median")], "name string, kind string, invertible boolean")
+
+
+@_register(_values([("repeated number", True), ("third input", True), ("third output", True), ("valid", False)], "graph, refused"))
+def graph_checks(spark, sf_dir):
+    """Graphs that are refused: two queries of one number, more inputs than a query takes, more than two outputs."""
+    make = lambda i: Query(i, [Select(Ref(0) < 1)])
+
+    def refused(build) -> bool:
+        try:
+            build()
+        except ValueError:
+            return True
+        return False
+
+    def inputs():
+        a, b, c = map(make, range(3))
+        a.connect_to(c)
+        b.connect_to(c)
+
+    def outputs():
+        a, *rest = map(make, range(4))
+        for q in rest:
+            a.connect_to(q)
+
+    found = {"repeated number": lambda: Application([make(1), make(1)]), "third input": inputs, "third output": outputs, "valid": lambda: Application([make(1), make(2)])}
+    return spark.createDataFrame([(k, refused(f)) for k, f in found.items()], "graph string, refused boolean")
+
+
+@_register(_values([(1, "7", True), (2, "3", True)], "query, inside, restored"))
+def query_settings(spark, sf_dir):
+    """A query's settings hold while it runs and leave the session's as they were."""
+    key = "spark.sql.shuffle.partitions"
+    before, rows = spark.conf.get(key), []
+    for q in (Query(1, [NoOp()], conf={key: "7"}), Query(2, [NoOp()], conf={key: "3"})):
+        with q.configured(spark):
+            inside = spark.conf.get(key)
+        rows.append((q.ident, inside, spark.conf.get(key) == before))
+    return spark.createDataFrame(rows, "query int, inside string, restored boolean")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -1,6 +1,6 @@
 """Expressions and predicates over a stream's columns by position.
 
-Each describes itself as an S-expression and becomes a Column once the schema of its input is known.
+Each describes itself in infix form and becomes a Column once the schema of its input is known.
 Division of two integers truncates toward zero; any other is a division of doubles.
 """
 
@@ -76,7 +76,7 @@ class Ref(Expr):
         return dict(df.dtypes)[self.name(df)] in _INTEGERS
 
     def describe(self) -> str:
-        return f'"{self.at}"'
+        return f"#{self.at}" if isinstance(self.at, int) else self.at
 
 
 @dataclass(eq=False)
@@ -95,7 +95,7 @@ class Const(Expr):
         return self.kind in ("int", "long")
 
     def describe(self) -> str:
-        return f"Constant {self.value}"
+        return repr(self.value) if self.kind in ("int", "double", "string") else f"{self.value}:{self.kind}"
 
 
 def lift(x) -> Expr:
@@ -124,7 +124,7 @@ class Arithmetic(Expr):
         return self.left.integral(df) and self.right.integral(df)
 
     def describe(self) -> str:
-        return f"( {self.left.describe()} {self.sign} {self.right.describe()} )"
+        return f"({self.left.describe()} {self.sign} {self.right.describe()})"
 
 
 class Predicate:
@@ -163,7 +163,7 @@ class All(Predicate):
         return functools.reduce(operator.and_, (p.column(df) for p in self.parts))
 
     def describe(self) -> str:
-        return " AND ".join(f"( {p.describe()} )" for p in self.parts)
+        return "(" + " and ".join(p.describe() for p in self.parts) + ")"
 
 
 @dataclass
@@ -174,7 +174,7 @@ class Any_(Predicate):
         return functools.reduce(operator.or_, (p.column(df) for p in self.parts))
 
     def describe(self) -> str:
-        return " OR ".join(f"( {p.describe()} )" for p in self.parts)
+        return "(" + " or ".join(p.describe() for p in self.parts) + ")"
 
 
 def as_column(x, df: DataFrame) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.batch import numbered
+from ..plans.durable import durable
 
 
 def _bits(x: Column) -> Column:
@@ -30,8 +31,9 @@ def column_stats(df: DataFrame, order: list[str], columns: list[str] | None = No
     inside = Window.partitionBy("_k").orderBy("_rn")
     marked = rows.select("_k", "_rn", *[F.struct(F.col(c).cast("double").alias("v"), F.coalesce((~F.col(c).eqNullSafe(F.lag(c).over(inside))) | (F.row_number().over(inside) == 1), F.lit(True)).cast("int").alias("new")).alias(c) for c in columns])
     edges = marked.groupBy("_k").agg(*[F.struct(F.min_by(f"{c}.v", "_rn").alias("first"), F.max_by(f"{c}.v", "_rn").alias("last")).alias(c) for c in columns])
-    blocks = Window.orderBy("_k")
-    joined = edges.select(*[(F.col(f"{c}.first") == F.lag(f"{c}.last").over(blocks)).cast("int").alias(c) for c in columns]).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns])
+    edges = durable(edges)
+    before = edges.select((F.col("_k") + 1).alias("_k"), *[F.col(f"{c}.last").alias(f"_p_{c}") for c in columns])
+    joined = edges.join(before, "_k").select(*[F.col(f"{c}.first").eqNullSafe(F.col(f"_p_{c}")).cast("int").alias(c) for c in columns]).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns])
     sums = marked.agg(
         F.count("*").alias("n"),
         *[F.struct(F.countDistinct(f"{c}.v").alias("n_distinct"), F.min(f"{c}.v").alias("low"), F.max(f"{c}.v").alias("high"), F.sum(f"{c}.new").alias("runs")).alias(c) for c in columns],

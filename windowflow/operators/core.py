@@ -19,7 +19,7 @@ class Select:
     predicate: Predicate
 
     def describe(self) -> str:
-        return f"Selection ({self.predicate.describe()})"
+        return f"select {self.predicate.describe()}"
 
 
 @dataclass
@@ -29,7 +29,7 @@ class Project:
     columns: list[tuple[str, Expr]]
 
     def describe(self) -> str:
-        return "Projection (" + ", ".join(['"0"', *(e.describe() for _, e in self.columns)]) + ")"
+        return "project " + ", ".join(f"{e.describe()} as {n}" for n, e in self.columns)
 
 
 @dataclass
@@ -38,7 +38,9 @@ class Aggregate:
 
     keys are (name, expression) pairs, having a predicate over the output, arg_max the name of an aggregate
     whose largest rows of each window stay (ties too). where filters as the measure demands: before
-    windows of time, inside windows of rows. Only closed windows are emitted unless emit_open.
+    windows of time, inside windows of rows. Only closed windows are emitted unless emit_open. count_as names a
+    trailing count of a window's rows. fill adds the windows in which nothing happened, between the first and the last, to
+    ungrouped windows of time on tables.
     """
 
     window: WindowSpec
@@ -51,21 +53,30 @@ class Aggregate:
     emit_open: bool = False
     lowering: str = "auto"
     order: tuple[str, ...] = ()
+    count_as: str = ""
+    fill: bool = False
 
     def __post_init__(self):
         if not self.aggs:
             raise ValueError("an aggregation needs an aggregate")
-        names = [a.name for a in self.aggs] + [n for n, _ in self.keys]
+        names = [a.name for a in self.all_aggs] + [n for n, _ in self.keys]
         if len(set(names)) != len(names):
             raise ValueError("two outputs have the same name")
+        if self.fill and (self.keys or self.window.measure != "range"):
+            raise ValueError("only ungrouped windows of time can be filled")
+
+    @property
+    def all_aggs(self) -> list[Agg]:
+        return [*self.aggs, Agg("cnt", None, self.count_as)] if self.count_as else list(self.aggs)
 
     @property
     def incremental(self) -> bool:
         return self.window.measure != "session" and 2 * self.window.slide < self.window.size
 
     def describe(self) -> str:
-        parts = " ".join(f'{a.kind.upper()}("{a.of}")' for a in self.aggs)
-        return f"[Partial window u-aggregation] {parts} (group-by ? {int(bool(self.keys))}) (incremental ? {int(self.incremental)})"
+        what = ", ".join(f"{a.kind}({'*' if a.of is None else a.of}) as {a.name}" for a in self.all_aggs)
+        by = f" by {', '.join(n for n, _ in self.keys)}" if self.keys else ""
+        return f"aggregate {what}{by} over {self.window.describe()}{' in panes' if self.incremental else ''}"
 
 
 @dataclass
@@ -80,7 +91,7 @@ class StaticJoin:
     broadcast_rows: int = 1_000_000
 
     def describe(self) -> str:
-        return f'StaticHashJoin ("{self.stream_key}" == "{self.table_key}")'
+        return f"join table on {self.stream_key} = {self.table_key}"
 
 
 @dataclass
@@ -93,10 +104,21 @@ class ThetaJoin:
     label: str = ""
 
     def describe(self) -> str:
-        return f"ThetaJoin ({self.label})"
+        return f"join {self.left.describe()} with {self.right.describe()}" + (f" where {self.label}" if self.label else "")
 
 
 @dataclass
 class NoOp:
     def describe(self) -> str:
-        return "NoOp ()"
+        return "pass"
+
+
+@dataclass
+class Custom:
+    """Any function of a DataFrame to a DataFrame, on tables and streams; on a stream it may keep state of its own (``applyInPandasWithState``)."""
+
+    function: Callable[[DataFrame], DataFrame]
+    label: str = "custom"
+
+    def describe(self) -> str:
+        return self.label

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import Agg, either
 from ..functions.expressions import as_column
-from ..operators.core import Aggregate, NoOp, Project, Select, StaticJoin, ThetaJoin
+from ..operators.core import Aggregate, Custom, NoOp, Project, Select, StaticJoin, ThetaJoin
 from ..operators.window import WindowSpec
 from .durable import durable
 
@@ -30,6 +30,8 @@ def lower(op, df: DataFrame, right: DataFrame | None = None, time: str | None =
     time = time or df.columns[0]
     if isinstance(op, NoOp):
         return df
+    if isinstance(op, Custom):
+        return op.function(df)
     if isinstance(op, Select):
         return df.filter(op.predicate.column(df))
     if isinstance(op, Project):
@@ -52,17 +54,29 @@ def aggregate(op: Aggregate, df: DataFrame, time: str) -> DataFrame:
     else:
         if op.where is not None:
             df = df.filter(op.where.column(df))
-        panes = pane_table(df, F.col(time), op.window.pane, op.aggs, op.keys)
-        out = roll_up(panes, op.window, op.aggs, keys, op.emit_open, op.lowering)
+        panes = pane_table(df, F.col(time), op.window.pane, op.all_aggs, op.keys)
+        out = roll_up(panes, op.window, op.all_aggs, keys, op.emit_open, op.lowering)
+        out = _filled(out, op) if op.fill else out
     if op.arg_max:
         at = [c for c in ("window_start", "window_id") if c in out.columns]
-        best = out.groupBy(*at).agg(F.max(op.arg_max).alias("_best"))
+        out = durable(out)  # read twice
+        best = durable(out.groupBy(*at).agg(F.max(op.arg_max).alias("_best")))  # written, so that a hot window's rows can be split
         out = out.join(best, at).filter(F.col(op.arg_max) == F.col("_best")).drop("_best")
     if op.post is not None:
         out = op.post(out)
     return out.filter(op.having.column(out)) if op.having is not None else out
 
 
+def _filled(out: DataFrame, op: Aggregate) -> DataFrame:
+    """``out`` with a row for every window between its first and its last; counts of windows without rows are 0, all else is null."""
+    w, out = op.window, durable(out)
+    starts = F.sequence(F.min("window_start"), F.max("window_start"), F.lit(w.slide).cast("long"))
+    every = out.agg(starts.alias("s")).select(F.explode("s").alias("window_start"))
+    counts = {a.name for a in op.all_aggs if a.kind == "cnt"}
+    rest = [F.coalesce(c, F.lit(0)).cast("long").alias(c) if c in counts else F.col(c) for c in out.columns[2:]]
+    return every.join(out.drop("window_end"), "window_start", "left").select("window_start", (F.col("window_start") + w.size).alias("window_end"), *rest)
+
+
 def pane_table(df: DataFrame, at: Column, pane: int, aggs: list[Agg], keys, keep: Column | None = None, extra: dict | None = None) -> DataFrame:
     """Partial states per pane and key, with the pane's largest time (``_last``)."""
     states = reduce(lambda a, b: a | b, (a.partial(df, keep) for a in aggs), {})
@@ -167,22 +181,22 @@ def _row_windows(op: Aggregate, df: DataFrame, time: str) -> DataFrame:
     keys = [n for n, _ in op.keys]
     rows, offsets = numbered(df, [time, *op.order])
     keep = op.where.column(rows) if op.where is not None else None
-    panes = pane_table(rows, F.col("_rn"), op.window.pane, op.aggs, op.keys, keep, {"_ts": F.max(time)})
+    panes = pane_table(rows, F.col("_rn"), op.window.pane, op.all_aggs, op.keys, keep, {"_ts": F.max(time)})
     total = offsets.agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("_total"))
     panes = panes.join(F.broadcast(total))
-    out = roll_up(panes, op.window, op.aggs, keys, op.emit_open, "explode", end=F.max("_total"), extra={"_ts": F.max("_ts")})
+    out = roll_up(panes, op.window, op.all_aggs, keys, op.emit_open, "explode", end=F.max("_total"), extra={"_ts": F.max("_ts")})
     if keys:
         out = out.filter(F.col("_rows") > 0)
-    return out.select((F.col("window_start") / op.window.slide).cast("long").alias("window_id"), F.col("_ts").alias("max_ts"), *keys, *[a.name for a in op.aggs])
+    return out.select((F.col("window_start") / op.window.slide).cast("long").alias("window_id"), F.col("_ts").alias("max_ts"), *keys, *[a.name for a in op.all_aggs])
 
 
 def _sessions(op: Aggregate, df: DataFrame, time: str) -> DataFrame:
     if op.where is not None:
         df = df.filter(op.where.column(df))
-    states = reduce(lambda a, b: a | b, (a.partial(df, None) for a in op.aggs), {})
+    states = reduce(lambda a, b: a | b, (a.partial(df, None) for a in op.all_aggs), {})
     keys = [n for n, _ in op.keys]
     out = df.groupBy(F.session_window(F.timestamp_seconds(time), f"{op.window.gap} seconds").alias("_w"), *[as_column(e, df).alias(n) for n, e in op.keys]).agg(*[c.alias(n) for n, c in states.items()])
-    out = out.select(F.unix_seconds("_w.start").alias("window_start"), F.unix_seconds("_w.end").alias("window_end"), *keys, *[a.result() for a in op.aggs])
+    out = out.select(F.unix_seconds("_w.start").alias("window_start"), F.unix_seconds("_w.end").alias("window_end"), *keys, *[a.result() for a in op.all_aggs])
     if op.emit_open:
         return out
     return out.join(F.broadcast(df.agg(F.max(time).alias("_max")))).filter("window_end <= _max").drop("_max")
@@ -261,12 +275,22 @@ def _theta_rows(op: ThetaJoin, left: DataFrame, right: DataFrame, lt: str, rt: s
     return both.select("_l.*", "_r.*")
 
 
+def offsets(sums: DataFrame, block: int = 1 << 14) -> DataFrame:
+    """``sums`` (_k, _n) with ``_before``, the sum of _n over smaller _k, in two levels, so that no task sees more than ``block`` keys' rows or blocks' sums."""
+    own = F.floor(F.col("_k") / F.lit(block))
+    sums = sums.withColumn("_b", own)
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sums.groupBy("_b").agg(F.sum("_n").alias("_n"))
+    blocks = blocks.select("_b", before(Window.orderBy("_b")).alias("_base"))
+    inside = sums.withColumn("_inside", before(Window.partitionBy("_b").orderBy("_k")))
+    return inside.join(blocks, "_b").select("_k", "_n", (F.col("_base") + F.col("_inside")).alias("_before"))
+
+
 def _running(rows: DataFrame) -> DataFrame:
     """_rn with the numbers of left and right rows before it, by blocks and offsets of blocks."""
     block = 1 << 16
     at = rows.select("_rn", "_side", F.floor(F.col("_rn") / F.lit(block)).alias("_k"))
-    sums = at.groupBy("_k").agg(F.sum("_side").alias("_n"))
-    before = sums.select("_k", F.coalesce(F.sum("_n").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    before = offsets(at.groupBy("_k").agg(F.sum("_side").alias("_n"))).drop("_n")
     own = F.coalesce(F.sum("_side").over(Window.partitionBy("_k").orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = at.withColumn("_own", own).join(before, "_k").withColumn("_lefts", F.col("_before") + F.col("_own"))
     return out.select("_rn", "_lefts", (F.col("_rn") - F.col("_lefts")).alias("_rights"))

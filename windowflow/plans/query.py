@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.core import ThetaJoin
 from . import batch
+from .durable import durable
 
 
 @dataclass
@@ -48,6 +51,24 @@ class Query:
             time = time if time in df.columns else None
         return df
 
+    @contextlib.contextmanager
+    def configured(self, spark: SparkSession) -> Iterator[None]:
+        """The session has this query's settings inside, and its own again afterwards.
+
+        A streaming query keeps the settings with which it was started; a batch result has them if its action runs inside.
+        """
+        before = {k: spark.conf.get(k, None) for k in self.conf}
+        try:
+            for k, v in self.conf.items():
+                spark.conf.set(k, v)
+            yield
+        finally:
+            for k, v in before.items():
+                if v is None:
+                    spark.conf.unset(k)
+                else:
+                    spark.conf.set(k, v)
+
 
 class Application:
     """A set of connected queries with unique numbers."""
@@ -63,11 +84,6 @@ class Application:
     def sinks(self) -> list[Query]:
         return [q for q in self.queries if not q.downstream]
 
-    def configure(self, spark: SparkSession) -> None:
-        for q in self.queries:
-            for k, v in q.conf.items():
-                spark.conf.set(k, v)
-
     def run(self, inputs: dict[int, tuple[DataFrame, ...]], using=batch.lower) -> dict[int, DataFrame]:
         """The sinks' DataFrames; ``inputs`` has those of every source query by number."""
         done: dict[int, DataFrame] = {}
@@ -78,6 +94,8 @@ class Application:
                 raise ValueError("the queries form a circle")
             for q in ready:
                 given = tuple(done[u.ident] for u in q.upstream) or tuple(inputs[q.ident])
-                done[q.ident] = q.lower(*given, using=using)
+                out = q.lower(*given, using=using)
+                # what feeds two queries is computed once
+                done[q.ident] = durable(out) if len(q.downstream) > 1 and not out.isStreaming else out
                 waiting.remove(q)
         return {q.ident: done[q.ident] for q in self.sinks()}

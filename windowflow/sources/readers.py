@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def text_file(spark: SparkSession, path: str, schema: str | StructType, sep: str = " ") -> DataFrame:
-    """Rows of separated text with a declared schema; a malformed row is dropped."""
-    return spark.read.csv(path, schema=schema, sep=sep, mode="DROPMALFORMED")
+MALFORMED = "_malformed"
+
+
+def text_lines(spark: SparkSession, path: str, schema: str, sep: str = " ") -> DataFrame:
+    """Every line of separated text with a declared schema: its columns, and the line itself in MALFORMED where it doesn't fit."""
+    parsed = F.from_csv("value", f"{schema}, {MALFORMED} string", {"sep": sep, "columnNameOfCorruptRecord": MALFORMED})
+    return spark.read.text(path).select(parsed.alias("v")).select("v.*")
+
+
+def text_file(spark: SparkSession, path: str, schema: str, sep: str = " ") -> DataFrame:
+    """The well-formed rows of separated text; ``malformed_lines`` has the others, so that none goes unseen."""
+    return text_lines(spark, path, schema, sep).filter(F.col(MALFORMED).isNull()).drop(MALFORMED)
+
+
+def malformed_lines(spark: SparkSession, path: str, schema: str, sep: str = " ") -> DataFrame:
+    return text_lines(spark, path, schema, sep).filter(F.col(MALFORMED).isNotNull()).select(MALFORMED)
 
 
 def shifted(df: DataFrame, time: str, copies: int, span: int) -> DataFrame:
-    """The same rows over and over, each copy ``span`` later than the one before."""
-    again = [df.withColumn(time, F.col(time) + F.lit(i * span).cast(dict(df.dtypes)[time])) for i in range(copies)]
-    return reduce(DataFrame.unionByName, again)
+    """The same rows over and over, each copy ``span`` later than the one before, from one scan."""
+    again = df.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return again.withColumn(time, (F.col(time) + F.col("_copy") * span).cast(df.schema[time].dataType)).drop("_copy")
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, kind: str = "parquet", files_per_trigger: int | None = 1) -> DataFrame:

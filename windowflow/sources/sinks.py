@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import socket
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -21,11 +23,13 @@ def memory(name: str) -> Callable:
     return lambda writer: writer.queryName(name).format("memory").start()
 
 
-def each_batch(path: str) -> Callable:
-    """Idempotent: a batch that is written again replaces its own folder."""
+def each_batch(path: str, fail_at: int | None = None) -> Callable:
+    """Idempotent: a batch that is written again replaces its own folder. ``fail_at`` injects a failure: that batch is written but not committed."""
 
     def write(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        if batch == fail_at:
+            raise RuntimeError(f"failure injected in batch {batch}")
 
     return lambda writer: writer.foreachBatch(write).start()
 
@@ -42,3 +46,52 @@ def tcp(host: str, port: int) -> Callable:
         df.toJSON().foreachPartition(part)
 
     return lambda writer: writer.foreachBatch(send).start()
+
+
+class Receiver:
+    """The other side of ``tcp``: rows by batch, each once however often its batch is sent again; for tests, as it holds them all."""
+
+    def __init__(self, host: str = "127.0.0.1"):
+        self.server = socket.create_server((host, 0))
+        self.port = self.server.getsockname()[1]
+        self.rows: dict[tuple[int, str], dict] = {}
+        threading.Thread(target=self._accept, daemon=True).start()
+
+    def _accept(self) -> None:
+        while True:
+            try:
+                connection, _ = self.server.accept()
+            except OSError:  # closed
+                return
+            threading.Thread(target=self._read, args=(connection,), daemon=True).start()
+
+    def _read(self, connection: socket.socket) -> None:
+        with connection, connection.makefile("r", encoding="utf-8") as lines:
+            for line in lines:
+                said = json.loads(line)
+                self.rows[said["batch"], json.dumps(said["row"], sort_keys=True)] = said["row"]
+
+    def close(self) -> None:
+        self.server.close()
+
+
+class Feeder:
+    """Serves lines to the first that connects; for tests of socket sources."""
+
+    def __init__(self, lines, host: str = "127.0.0.1"):
+        self.server = socket.create_server((host, 0))
+        self.port = self.server.getsockname()[1]
+        threading.Thread(target=self._send, args=(lines,), daemon=True).start()
+
+    def _send(self, lines) -> None:
+        try:
+            connection, _ = self.server.accept()
+            with connection:
+                for line in lines:
+                    connection.sendall(f"{line}\n".encode())
+                connection.recv(1)  # until the reader goes
+        except OSError:
+            pass
+
+    def close(self) -> None:
+        self.server.close()

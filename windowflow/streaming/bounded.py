@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..plans.durable import new_folder
-from ..plans.query import Application
+from ..plans.durable import durable, new_folder
+from ..plans.query import Application, Query
 from ..sources import readers, sinks
 from .runtime import Runtime
 
 
-def run_to_end(spark: SparkSession, app: Application, inputs: dict[int, tuple[DataFrame, ...]], origin: int | None = None, folder: str | None = None) -> DataFrame:
+def run_to_end(spark: SparkSession, app: Application, inputs: dict[int, tuple[DataFrame, ...]], origin: int | None = None, folder: str | None = None, delay: str = "0 seconds") -> DataFrame:
     """The rows that the application's one sink has committed below ``folder``.
 
     Called again with the same folder it recovers: the sink's rows stay, and only new input is read.
     """
     folder = folder or new_folder(spark, "stream")
     (sink,) = app.sinks()
-    run = Runtime(spark, app, f"{folder}/checkpoints", origin=origin)
+    run = Runtime(spark, app, f"{folder}/checkpoints", delay, origin)
     schema = run.plans(inputs)[sink.ident].schema
     try:
         run.start(inputs, {sink.ident: sinks.files(f"{folder}/out")})
@@ -27,6 +28,39 @@ def run_to_end(spark: SparkSession, app: Application, inputs: dict[int, tuple[Da
     return spark.read.schema(schema).parquet(f"{folder}/out")
 
 
+def run_staged(spark: SparkSession, app: Application, inputs: dict[int, tuple[DataFrame, ...]], origin: int | None = None) -> DataFrame:
+    """The same, with every query of the application a streaming query of its own that reads what those before it have committed.
+
+    For graphs that one streaming query can't hold: Spark keeps no state of one's own behind an aggregation.
+    """
+    done: dict[int, DataFrame] = {}
+    waiting = list(app.queries)
+    while waiting:
+        q = next(q for q in waiting if all(u.ident in done for u in q.upstream))
+        waiting.remove(q)
+        alone = Application([Query(q.ident, q.operators, q.name, q.time, q.conf)])
+        folder = new_folder(spark, "stage")
+        done[q.ident] = run_to_end(spark, alone, {q.ident: tuple(done[u.ident] for u in q.upstream) or inputs[q.ident]}, origin, folder)
+        if q.downstream:
+            done[q.ident] = readers.file_stream(spark, f"{folder}/out", done[q.ident].schema, files_per_trigger=None)
+    (sink,) = app.sinks()
+    return done[sink.ident]
+
+
+def in_files(spark: SparkSession, df: DataFrame, time: str, files: int = 8) -> DataFrame:
+    """A stream of the rows of a small table in that many files, stretch after stretch of time, one file a micro-batch."""
+    folder, df = new_folder(spark, "in"), durable(df)
+    lo, hi = df.agg(F.min(time), F.max(time)).first()
+    for k in range(files if lo is not None else 1):
+        first, last = ((lo or 0) + ((hi or 0) - (lo or 0) + 1) * i // files for i in (k, k + 1))
+        add_file(df.filter((F.col(time) >= first) & (F.col(time) < last)), folder)
+    return readers.file_stream(spark, folder, df.schema)
+
+
+def add_file(df: DataFrame, folder: str) -> None:
+    df.coalesce(1).write.mode("append").parquet(folder)
+
+
 def run_in_parts(spark: SparkSession, make, parts: list[DataFrame], origin: int | None = None) -> DataFrame:
     """Feeds the parts one by one, each to a new runtime that recovers from the one before.
 

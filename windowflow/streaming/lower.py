@@ -3,6 +3,10 @@
 The time column holds seconds. Every stateful operator has a watermark of ``delay`` behind the largest time
 that reaches it (after its filter), so a window is emitted once a row at or after its end has been seen.
 ``_event_time`` carries event time from one stateful operator to the next.
+
+Sliding windows of time take two chained aggregations: rows into panes of gcd(size, slide), and closed panes into windows, so a
+row updates one state, whatever the overlap. Windows and joins of rows need the stream's one order, which
+one task keeps; their states are panes and the last rows, not the stream.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ import pickle
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,10 +23,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.aggregates import Agg
 from ..functions.expressions import as_column
-from ..operators.core import Aggregate, NoOp, Project, Select, StaticJoin, ThetaJoin
+from ..operators.core import Aggregate, Custom, NoOp, Project, Select, StaticJoin, ThetaJoin
 from ..plans import batch
 
 EVENT_TIME = "_event_time"
+#: Parts of a window that look for its largest rows on their own.
+SALTS = 64
 
 
 def lowering(delay: str = "0 seconds", origin: int | None = None):
@@ -29,7 +36,7 @@ def lowering(delay: str = "0 seconds", origin: int | None = None):
 
     def lower(op, df: DataFrame, right: DataFrame | None = None, time: str | None = None) -> DataFrame:
         time = time or df.columns[0]
-        if isinstance(op, (Select, NoOp)):
+        if isinstance(op, (Select, NoOp, Custom)):
             return batch.lower(op, df, time=time)
         if isinstance(op, Project):
             kept = [EVENT_TIME] if EVENT_TIME in df.columns else []
@@ -37,7 +44,7 @@ def lowering(delay: str = "0 seconds", origin: int | None = None):
         if isinstance(op, StaticJoin):
             return batch.static_join(op, df)
         if isinstance(op, ThetaJoin):
-            return _theta(op, df, right, time, delay)
+            return (_theta if op.left.measure == "range" else _theta_rows)(op, df, right, time, delay)
         if op.window.measure == "rows":
             return _rows(op, df, time)
         return _windows(op, df, time, delay, origin)
@@ -55,20 +62,19 @@ def _windows(op: Aggregate, df: DataFrame, time: str, delay: str, origin: int |
     if op.where is not None:
         df = df.filter(op.where.column(df))
     df = _timed(df, time, delay)
-    w = op.window
-    if w.measure == "session":
-        window = F.session_window(EVENT_TIME, f"{w.gap} seconds")
-    else:
-        window = F.window(EVENT_TIME, f"{w.size} seconds", f"{w.slide} seconds")
-    states = reduce(lambda a, b: a | b, (a.partial(df, None) for a in op.aggs), {})
+    w, aggs = op.window, op.all_aggs
     keys = [n for n, _ in op.keys]
-    out = df.groupBy(window.alias("_w"), *[as_column(e, df).alias(n) for n, e in op.keys]).agg(*[c.alias(n) for n, c in states.items()])
-    out = out.select("_w", *keys, *[a.result() for a in op.aggs])
+    states = reduce(lambda a, b: a | b, (a.partial(df, None) for a in aggs), {})
+    seconds = lambda n: f"{n} seconds"
+    first = F.session_window(EVENT_TIME, seconds(w.gap)) if w.measure == "session" else F.window(EVENT_TIME, seconds(w.pane))
+    out = df.groupBy(first.alias("_w"), *[as_column(e, df).alias(n) for n, e in op.keys]).agg(*[c.alias(n) for n, c in states.items()])
+    if w.measure == "range" and not w.tumbling:
+        merged = reduce(lambda a, b: a | b, (a.merged() for a in aggs), {})
+        whole = F.window(F.window_time("_w"), seconds(w.size), seconds(w.slide))
+        out = out.groupBy(whole.alias("_v"), *keys).agg(*[c.alias(n) for n, c in merged.items()]).withColumnRenamed("_v", "_w")
+    out = out.select("_w", *keys, *[a.result() for a in aggs])
     if op.arg_max:
-        rows = F.struct(*keys, *[a.name for a in op.aggs])
-        out = out.groupBy("_w").agg(F.collect_list(rows).alias("_g"))
-        out = out.withColumn("_best", F.array_max(F.transform("_g", lambda x: x[op.arg_max])))
-        out = out.select("_w", F.explode(F.filter("_g", lambda x: x[op.arg_max] == F.col("_best"))).alias("_x")).select("_w", "_x.*")
+        out = _largest(out, op.arg_max, keys)
     out = out.select(
         F.unix_seconds("_w.start").alias("window_start"),
         F.unix_seconds("_w.end").alias("window_end"),
@@ -82,9 +88,20 @@ def _windows(op: Aggregate, df: DataFrame, time: str, delay: str, origin: int |
     return out.filter(op.having.column(out)) if op.having is not None else out
 
 
+def _largest(out: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """The rows of every window with its largest value, ties too: the largest of every part of it first, then those of all parts."""
+    names = [c for c in out.columns if c != "_w"]
+
+    def best(df: DataFrame, *part) -> DataFrame:
+        held = df.groupBy("_w", *part).agg(F.collect_list(F.struct(*names)).alias("_g"))
+        held = held.withColumn("_best", F.array_max(F.transform("_g", lambda x: x[value])))
+        return held.select("_w", F.explode(F.filter("_g", lambda x: x[value] == F.col("_best"))).alias("_x")).select("_w", "_x.*")
+
+    parts = best(out.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS))), "_salt") if keys else out
+    return best(parts)
+
+
 def _theta(op: ThetaJoin, left: DataFrame, right: DataFrame, time: str, delay: str) -> DataFrame:
-    if op.left.measure != "range":
-        raise NotImplementedError("joins of row windows run on bounded streams")
     clash = {c: f"r_{c}" if c in left.columns else c for c in right.columns}
     left, right = _timed(left, time, delay), _timed(right, time, delay)
     right = right.select(*[F.col(c).alias(n) for c, n in clash.items() if c != EVENT_TIME], F.col(EVENT_TIME).alias("_r_event_time"))
@@ -102,57 +119,106 @@ def _theta(op: ThetaJoin, left: DataFrame, right: DataFrame, time: str, delay: s
     return out.select(*names[0], *names[1])
 
 
-def _of_rows(a: Agg, rows: list[dict]):
-    x = [r[f"_x_{a.name}"] for r in rows]
-    x = [v for v in x if v is not None]
+_STAMPS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
+
+
+def _theta_rows(op: ThetaJoin, left: DataFrame, right: DataFrame, time: str, delay: str) -> DataFrame:
+    """Windows of rows on both sides: a row meets the other side's last rows that came before it.
+
+    Rows come in the order of time, at equal times the right side's first, and then of their values, within a micro-batch; micro-batches
+    must come in that order too. The state holds the rows of both sides' windows. What the predicate says is decided by Spark.
+    """
+    left, right = left.drop(EVENT_TIME), right.drop(EVENT_TIME)
+    clash = {c: f"r_{c}" if c in left.columns else c for c in right.columns}
+    kinds = [df.schema for df in (left, right)]
+    packed = [
+        df.select(F.lit(0).alias("_one"), F.col(t).cast("long").alias("_t"), F.lit(side).alias("_side"), F.to_json(F.struct(*df.columns), _STAMPS).alias("_row"))
+        for df, t, side in ((left, time if time in left.columns else left.columns[0], 1), (right, time if time in right.columns else right.columns[0], 0))
+    ]
+    bounds = {1: (op.left.size, op.left.slide), 0: (op.right.size, op.right.slide)}
+
+    def meet(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # of each side: how many rows have come, and the last of them
+        seen, held = pickle.loads(state.get[0]) if state.exists else ([0, 0], [[], []])
+        for t, side, row in pd.concat(list(frames)).sort_values(["_t", "_side", "_row"], kind="stable")[["_t", "_side", "_row"]].itertuples(index=False):
+            other, (size, slide) = 1 - side, bounds[1 - side]
+            first = slide * max(0, -((size - seen[other]) // slide))  # the first row of the other side's window
+            own = held[other][len(held[other]) - (seen[other] - first) :] if seen[other] > first else []
+            if own:
+                both = ([row] * len(own), own) if side else (own, [row] * len(own))
+                yield pd.DataFrame({"l": both[0], "r": both[1]})
+            held[side].append(row)
+            seen[side] += 1
+            keep = sum(bounds[side])
+            if len(held[side]) > 2 * keep:
+                del held[side][:-keep]
+        state.update((pickle.dumps((seen, held)),))
+
+    pairs = packed[0].unionByName(packed[1]).groupBy("_one").applyInPandasWithState(meet, "l string, r string", "held binary", "append", GroupStateTimeout.NoTimeout)
+    both = pairs.select(*[F.from_json(c, k, _STAMPS).alias(c) for c, k in zip("lr", kinds, strict=True)])
+    out = both.select(*[F.col(f"l.`{c}`") for c in left.columns], *[F.col(f"r.`{c}`").alias(n) for c, n in clash.items()])
+    return out.filter(op.predicate(lambda c: F.col(c), lambda c: F.col(clash.get(c, c)))) if op.predicate is not None else out
+
+
+def _pane_states(rows: pd.DataFrame, by: list[str], aggs: list[Agg]) -> pd.DataFrame:
+    """Per pane and key: the latest time, passing rows, and the aggregates' states over those."""
+    passing = rows["_pass"]
+    out = rows[by].assign(_t=rows["_t"], _rows=passing.astype("int64"))
+    for a in aggs:
+        x = rows[f"_x_{a.name}"].where(passing)
+        out[f"s_{a.name}"] = x
+        out[f"n_{a.name}"] = rows[f"_y_{a.name}"].where(passing) if a.weight is not None else x.notna().astype("int64")
+    return out.groupby(by, dropna=False, sort=False).agg(_merging(aggs)).reset_index()
+
+
+def _merging(aggs: list[Agg]) -> dict[str, str]:
+    return {"_t": "max", "_rows": "sum"} | {f"s_{a.name}": a.kind if a.kind in ("min", "max") else "sum" for a in aggs} | {f"n_{a.name}": "sum" for a in aggs}
+
+
+def _result(a: Agg, own: pd.DataFrame) -> pd.Series:
+    s, n = own[f"s_{a.name}"], own[f"n_{a.name}"]
     if a.kind == "cnt":
-        return len(rows)
-    if not x:
-        return None
-    if a.kind in ("sum", "min", "max"):
-        return float({"sum": sum, "min": min, "max": max}[a.kind](x))
-    if a.kind == "avg":
-        return float(sum(x)) / len(x)
-    weights = [r[f"_y_{a.name}"] for r in rows]
-    return float(sum(v * w for v, w in zip(x, weights, strict=True))) / float(sum(weights)) if sum(weights) else None
+        return own["_rows"].astype("int64")
+    return s / n.where(n != 0) if a.kind in ("avg", "w_avg") else s.where(n > 0)
 
 
 def _rows(op: Aggregate, df: DataFrame, time: str) -> DataFrame:
     """Row windows by a counter over one key: the stream has one order, so one task keeps it.
 
-    Rows of a micro-batch are sorted by time and tie-break; the state holds the rows that open windows
-    still need, at most the window's size.
+    Rows of a micro-batch are sorted by time and tie-break, numbered and aggregated into panes; the state holds the
+    panes that open windows still need. What a micro-batch holds at most is set at the source (files or bytes per trigger).
     """
-    keys, w = [n for n, _ in op.keys], op.window
+    keys, w, aggs = [n for n, _ in op.keys], op.window, op.all_aggs
     passing = op.where.column(df) if op.where is not None else F.lit(True)
-    args = [(as_column(a.of, df) if a.of is not None else F.lit(1)).cast("double").alias(f"_x_{a.name}") for a in op.aggs]
-    args += [as_column(a.weight, df).cast("double").alias(f"_y_{a.name}") for a in op.aggs if a.weight is not None]
+    args = [(as_column(a.of, df) if a.of is not None else F.lit(1)).cast("double") for a in aggs]
+    args = [(x * as_column(a.weight, df) if a.weight is not None else x).alias(f"_x_{a.name}") for a, x in zip(aggs, args, strict=True)]
+    args += [as_column(a.weight, df).cast("double").alias(f"_y_{a.name}") for a in aggs if a.weight is not None]
     order = [F.col(c).alias(f"_o_{c}") for c in op.order]
-    rows = df.select(F.lit(0).alias("_one"), F.col(time).cast("long").alias("_t"), *order, passing.alias("_pass"), *[as_column(e, df).alias(n) for n, e in op.keys], *args)
+    rows = df.select(
+        F.lit(0).alias("_one"), F.col(time).cast("long").alias("_t"), *order, F.coalesce(passing, F.lit(False)).alias("_pass"), *[as_column(e, df).alias(n) for n, e in op.keys], *args
+    )
     sort = ["_t", *[f"_o_{c}" for c in op.order]]
-    results = ", ".join(f"`{a.name}` {'long' if a.kind == 'cnt' else 'double'}" for a in op.aggs)
+    results = ", ".join(f"`{a.name}` {'long' if a.kind == 'cnt' else 'double'}" for a in aggs)
     types = dict(rows.dtypes)
     schema = "window_id long, max_ts long, " + "".join(f"`{k}` {types[k]}, " for k in keys) + results
 
+    def merged(panes: pd.DataFrame) -> pd.DataFrame:
+        return panes.groupby(keys or np.zeros(len(panes)), dropna=False, sort=False).agg(_merging(aggs)).reset_index(drop=not keys)
+
     def count(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, held = pickle.loads(state.get[0]) if state.exists else (0, [])
+        n, at, held = pickle.loads(state.get[0]) if state.exists else (0, 0, None)
         new = pd.concat(list(frames)).sort_values(sort, kind="stable")
-        held += new.astype(object).where(new.notna(), None).to_dict("records")
-        first, out = n, []  # the number of the first row held
-        at = -(-first // w.slide) * w.slide
-        while at + w.size <= first + len(held):
-            own = held[at - first : at - first + w.size]
-            latest = max(r["_t"] for r in own)
-            groups: dict[tuple, list] = {} if keys else {(): []}
-            stamps: dict[tuple, int] = {}
-            for r in own:
-                k = tuple(r[x] for x in keys)
-                stamps[k] = max(stamps.get(k, r["_t"]), r["_t"])
-                if r["_pass"]:
-                    groups.setdefault(k, []).append(r)
-            out += [(at // w.slide, stamps[k] if keys else latest, *k, *[_of_rows(a, g) for a in op.aggs]) for k, g in groups.items()]
+        new["_pane"] = (n + np.arange(len(new))) // w.pane
+        n += len(new)
+        panes = pd.concat([x for x in (held, _pane_states(new, ["_pane", *keys], aggs)) if x is not None])
+        while at + w.size <= n:
+            own = merged(panes[(panes["_pane"] >= at // w.pane) & (panes["_pane"] < (at + w.size) // w.pane)])
+            own = own[own["_rows"] > 0] if keys else own
+            said = {"window_id": at // w.slide, "max_ts": own["_t"].astype("int64")} | {k: own[k] for k in keys}
+            said |= {a.name: _result(a, own) for a in aggs}
+            yield pd.DataFrame(said)[["window_id", "max_ts", *keys, *[a.name for a in aggs]]]
             at += w.slide
-        state.update((pickle.dumps((at, held[at - first :])),))
-        yield pd.DataFrame(out, columns=["window_id", "max_ts", *keys, *[a.name for a in op.aggs]])
+            panes = panes[panes["_pane"] >= at // w.pane]
+        state.update((pickle.dumps((n, at, panes)),))
 
     return rows.groupBy("_one").applyInPandasWithState(count, schema, "held binary", "append", GroupStateTimeout.NoTimeout)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -29,13 +30,35 @@ class Metrics(StreamingQueryListener):
             self.progress.append((p.name, p.batchId, p.numInputRows, p.processedRowsPerSecond, p.batchDuration))
 
     def summary(self, shares=(5, 25, 50, 75, 99)) -> dict:
-        """Rows, mean rows per second, and percentiles of batch durations in ms."""
+        """Rows, batches that had some, mean rows per second, and percentiles of batch durations and of rows' latencies in ms.
+
+        A row's latency is the time that its batch takes, from when it is planned to when its results are committed.
+        """
         with self.lock:
             rows = [p for p in self.progress if p[2]]
         times = sorted(p[4] for p in rows)
         total, ms = sum(p[2] for p in rows), sum(times)
         pick = lambda s: times[min(len(times) - 1, len(times) * s // 100)] if times else None
-        return {"rows": total, "rows_per_second": 1000 * total / ms if ms else None, "batch_ms": {s: pick(s) for s in shares}}
+
+        def latency(share: int):
+            seen = 0
+            for p in sorted(rows, key=lambda p: p[4]):
+                seen += p[2]
+                if 100 * seen >= share * total:
+                    return p[4]
+
+        return {
+            "rows": total, "batches": len(rows), "most_rows": max((p[2] for p in rows), default=0), "rows_per_second": 1000 * total / ms if ms else None,
+            "batch_ms": {s: pick(s) for s in shares}, "latency_ms": {s: latency(s) for s in shares},
+        }
+
+
+    def settled(self, batches: int, seconds: float = 20) -> dict:
+        """The summary once that many batches with rows have been reported, or time is up: reports come a little late."""
+        end = time.monotonic() + seconds
+        while (said := self.summary())["batches"] < batches and time.monotonic() < end:
+            time.sleep(0.1)
+        return said
 
 
 class Runtime:
@@ -59,11 +82,12 @@ class Runtime:
 
         Without a trigger interval everything that is there is processed and the queries end.
         """
-        self.app.configure(self.spark)
+        by = {q.ident: q for q in self.app.queries}
         for ident, df in self.plans(inputs).items():
             writer = df.writeStream.queryName(f"q{ident}").outputMode("append").option("checkpointLocation", f"{self.checkpoints}/{ident}")
             writer = writer.trigger(processingTime=self.every) if self.every else writer.trigger(availableNow=True)
-            self.running.append(sinks[ident](writer))
+            with by[ident].configured(self.spark):
+                self.running.append(sinks[ident](writer))
         return self.running
 
     def wait(self) -> None:
