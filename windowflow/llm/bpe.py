@@ -154,6 +154,25 @@ def is_cut(left: str, right: str) -> bool:
     return bool(starts(points, np.array([len(points)]))[len(left)])
 
 
+# fixed values: the code points with the property White_Space
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space behind something else: always a place of ``cuts``.
+EDGE = re.compile(f"(?<=[^{_WHITE}])[{_WHITE}]")
+
+
+def next_cut(text: str, at: int, least: int) -> int | None:
+    """The first cut at least ``least`` characters behind the cut ``at``; none if the rest of the text has none."""
+    reach = 2 * least
+    while True:
+        found = cuts(text[at : at + reach + 4])  # a cut looks at most three characters ahead
+        found = found[(found >= least) & (found <= reach)]
+        if len(found):
+            return at + int(found[0])
+        if at + reach >= len(text):
+            return None
+        reach *= 2
+
+
 def chunks(text: str, size: int) -> Iterator[str]:
     """The text in parts of about ``size`` characters that can be encoded one by one; longer only where it has no cut."""
     at = 0

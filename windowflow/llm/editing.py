@@ -11,25 +11,29 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import SCAN, chunks, cuts, encoder, is_cut, slices
+from .bpe import EDGE, encoder, is_cut, next_cut, slices
 from .common import in_arrow
 
 LEAF = 512
 
 def cut(text: str, leaf: int = LEAF) -> list[str]:
-    """Leaves of about ``leaf`` characters or more that can be encoded one by one."""
-    out = []
-    for part in chunks(text, SCAN):
-        at, places = 0, cuts(part) if len(part) > leaf else ()
-        while len(part) - at > leaf and (k := int(np.searchsorted(places, at + leaf))) < len(places):
-            out.append(part[at : places[k]])
-            at = int(places[k])
-        out.append(part[at:])
+    """Leaves of about ``leaf`` characters or more that can be encoded one by one.
+
+    White space behind other characters always begins a pre-token; only where there is none for a while must the text be scanned.
+    """
+    out, at = [], 0
+    while len(text) - at > leaf:
+        m = EDGE.search(text, at + leaf, at + 5 * leaf)
+        place = m.start() if m else next_cut(text, at, leaf)
+        if place is None:
+            break
+        out.append(text[at:place])
+        at = place
+    out.append(text[at:])
     return out
 
 
