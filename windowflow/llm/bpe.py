@@ -30,7 +30,7 @@ from .common import in_arrow
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Code points scanned at a time; a longer text is scanned in parts.
 SCAN = 1 << 19
-CACHE = 500_000
+CACHE = 250_000
 
 
 @functools.cache
@@ -335,6 +335,12 @@ class Merges(dict):
         return out
 
 
+@functools.lru_cache(1)
+def merges(path: str) -> Merges:
+    """One cache for all tasks of a worker."""
+    return Merges(load_ranks(path))
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (little-endian 32-bit), offsets (byte offset of each pre-token, 32-bit) per row of ``docs``.
 
@@ -343,7 +349,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merged = Merges(load_ranks(ranks_path))
+        merged = merges(ranks_path)
         for batch in batches:
             for part in slices(batch):
                 ids, offsets = [], []
