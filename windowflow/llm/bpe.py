@@ -30,7 +30,8 @@ from .common import in_arrow
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Code points scanned at a time; a longer text is scanned in parts.
 SCAN = 1 << 19
-CACHE = 250_000
+#: Pre-tokens of a cache's generation; two are held.
+CACHE = 200_000
 
 
 @functools.cache
@@ -293,18 +294,25 @@ def encoder(path: str) -> Encoder:
 
 
 class Merges(dict):
-    """Pre-token to its ids as little-endian 32-bit bytes; emptied when large, so its memory is bounded."""
+    """Pre-token to its ids as little-endian 32-bit bytes.
+
+    When it is full it starts anew and keeps its last contents to look in first, so its memory is bounded and what comes often stays.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.last = ranks, {}
 
     def __missing__(self, piece: bytes) -> bytes:
-        if len(self) > CACHE:
+        ids = self.last.get(piece)
+        if ids is None:
+            ids = np.array(self.merge(piece), "<u4").tobytes()
+            if len(piece) > 64:
+                return ids
+        if len(self) >= CACHE:
+            self.last = dict(self)
             self.clear()
-        ids = np.array(self.merge(piece), "<u4").tobytes()
-        if len(piece) <= 64:
-            self[piece] = ids
+        self[piece] = ids
         return ids
 
     def merge(self, piece: bytes) -> list[int]:
