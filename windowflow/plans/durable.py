@@ -38,10 +38,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: While a table is written small shuffle partitions are joined up to Spark's advisory size, not spread over all cores: fewer tasks and files.
+_JOINED_UP = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written and read again; no rows are computed twice."""
-    path = new_folder(df.sparkSession, "table")
-    df.write.parquet(path)
+    path, conf = new_folder(df.sparkSession, "table"), df.sparkSession.conf
+    before = conf.get(_JOINED_UP, "true")
+    conf.set(_JOINED_UP, "false")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_JOINED_UP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._durable_path = path
     return out
