@@ -265,11 +265,6 @@ def _compare(percent: int):
     return run
 
 
-def _met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
-    """A join that shuffles both sides at every size: nothing here has a bound that would allow a broadcast."""
-    return left.join(right.hint("merge"), on, how)
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -291,25 +286,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # wherever an aggregate meets rows again it is written first: then both sides are plain shuffles, and Spark splits a hot key's rows
     entries = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = durable(entries.groupBy("band", "key").agg(F.min("rep").alias("top"), F.count("*").alias("members")).filter("members > 1"))
-    crowded = durable(_met(entries, buckets, ["band", "key"]).select("band", "key", "rep", "members", "top"))
+    crowded = durable(entries.join(buckets, ["band", "key"]).select("band", "key", "rep", "members", "top"))
     stars = crowded.filter("rep <> top").select(F.col("top").alias("a"), F.col("rep").alias("b")).distinct()
     links = _confirmed(_screened(stars, classes, similarity), docs, percent)
     found = durable(components(links, "a", "b"))
 
     grouped = durable(
-        _met(crowded.select("band", "key", "rep", "members"), found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        crowded.select("band", "key", "rep", "members").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
         .withColumn("component", F.coalesce("component", "rep"))
     )
     open_buckets = durable(
         grouped.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band", "key")
     )
-    strays = durable(_met(grouped, open_buckets, ["band", "key"]))
+    strays = durable(grouped.join(open_buckets, ["band", "key"]))
     sizes = strays.groupBy("band", "key", "component").agg(F.count("*").alias("size"))
     most = durable(sizes.groupBy("band", "key").agg(F.max_by("component", "size").alias("most"), (F.sum("size") - F.max("size")).alias("askers")))
-    ids = durable(_met(classes.select("rep", "n"), strays.select("rep", "component").distinct(), "rep"))
+    ids = durable(classes.select("rep", "n").join(strays.select("rep", "component").distinct(), "rep"))
     parts = max(1, -(-(ids.agg(F.sum("n")).first()[0] or 0) // PART))
     placed = (
-        _met(strays, most, ["band", "key"])
+        strays.join(most, ["band", "key"])
         .withColumn("stray", (F.col("component") != F.col("most")).cast("int"))
         .withColumn("member_blocks", F.ceil(F.col("members") / F.lit(BLOCK)).cast("int"))
         .withColumn("asker_blocks", F.ceil(F.col("askers") / F.lit(BLOCK)).cast("int"))
@@ -321,7 +316,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     asked = F.transform(every("member_blocks"), lambda j: F.struct(block("asker_blocks").alias("i"), j.alias("j"), F.lit(1).alias("asks")))
     visits = F.when(F.col("stray") == 1, F.concat(visits, asked)).otherwise(visits)
     met = (
-        _met(placed.withColumn("v", F.explode(visits)), classes.select("rep", "n", "bands"), "rep")
+        placed.withColumn("v", F.explode(visits)).join(classes.select("rep", "n", "bands"), "rep")
         .select("band", "key", "v.i", "v.j", "v.asks", "stray", "part", "rep", "component", "n", "bands")
         .repartition("band", "key", "i", "j")
         .sortWithinPartitions("band", "key", "i", "j", "asks")
@@ -331,10 +326,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not hopeful.isEmpty():
         sets = _hashed(docs, ids.select(F.col("rep").alias("doc_id")))
         none = F.lit(None)
-        told = _met(ids, sets, "rep").select(
+        told = ids.join(sets, "rep").select(
             _part(F.col("rep"), parts).alias("part"), F.col("rep").alias("x"), none.cast("array<long>").alias("ys"), "component", "hashes"
         )
-        asking = _met(hopeful, sets.withColumnRenamed("rep", "x"), "x").select("part", "x", "ys", none.cast("long").alias("component"), "hashes")
+        asking = hopeful.join(sets.withColumnRenamed("rep", "x"), "x").select("part", "x", "ys", none.cast("long").alias("component"), "hashes")
         compared = told.union(asking).repartition("part").sortWithinPartitions("part", F.col("ys").isNotNull())
         more = durable(compared.transform(in_arrow, _compare(percent), "a long, b long"))
         first = found
@@ -342,11 +337,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         release(first, more, sets)
     release(hopeful, ids, links)
 
-    member = _met(classes.select("sig", "rep"), found.withColumnRenamed("node", "rep"), "rep", "left")
+    member = classes.select("sig", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     member = durable(member.select("sig", F.coalesce("component", "rep").alias("component")))
     release(classes, found)
     return (
-        _met(described, member, "sig", "left")
+        described.join(member, "sig", "left")
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
     )
@@ -355,7 +350,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _screened(stars: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches allow the similarity."""
     side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("bands").alias(f"bands_{c}"))
-    pairs = _met(_met(stars, side("a"), "a"), side("b"), "b").filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
+    pairs = stars.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
     return durable(pairs.transform(in_arrow, _screen(similarity), "a long, b long"))
 
 
@@ -363,7 +358,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs of representatives that meet the similarity on their full sets."""
     sets = _hashed(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     out = durable(
-        _met(_met(pairs, sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b"), sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a")
+        pairs.join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b").join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a")
         .transform(in_arrow, _confirm(percent), "a long, b long")
     )
     release(sets, pairs)
@@ -371,8 +366,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 
 def _hashed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, hashes) for the documents of ``ids``."""
-    return durable(_met(docs, ids, "doc_id").select("doc_id", "text").transform(in_arrow, _sets, "rep long, hashes binary"))
+    """(rep, hashes) for the documents of ``ids``; texts are shuffled at every size, as the number of ids has no bound."""
+    return durable(docs.join(ids.hint("merge"), "doc_id").select("doc_id", "text").transform(in_arrow, _sets, "rep long, hashes binary"))
 
 
 def _part(rep: Column, parts: int) -> Column:
