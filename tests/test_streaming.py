@@ -77,6 +77,13 @@ def test_sliding_windows_update_one_state_a_row(spark, tmp_path):
     assert "Expand" not in plan[first:] and "Expand" in plan[last:first]
 
 
+@pytest.mark.parametrize("window", [(13, 1), (16, 1), (10, 3), (14, 4)])
+def test_windows_by_blocks(spark, tmp_path, monkeypatch, window):
+    monkeypatch.setattr(lower, "BLOCKS_FROM", 2)
+    got, want = both(spark, tmp_path, lambda: Application([Query(1, [Aggregate(WindowSpec.range(*window), AGGS, [("k", "k")])])]), stream(11, 80))
+    assert want and got == want
+
+
 def test_row_windows_hold_panes(spark):
     rows = pd.DataFrame({"_pane": [0, 0, 1, 1], "k": ["a", None, "a", "a"], "_t": [1, 2, 3, 4], "_pass": [True, True, False, True], "_x_total": [1.0, None, 5.0, 7.0], "_x_low": [1.0, 2.0, 3.0, 4.0]})
     got = lower._pane_states(rows, ["_pane", "k"], [Agg("sum", "v", "total"), Agg("min", "v", "low")])

@@ -530,7 +530,12 @@ def _grown(name: str, old: int, new: int) -> str:
 
 
 _app_stream("cm1", 20_000, _grown("cm1", 40_000, 20_000))
+_app_stream("cm2", 20_000, _grown("cm2", 40_000, 20_000))
+_app_stream("sg1", 370_000, _SQL["app_sg1"])
+_app_stream("sg2", 16_000, _SQL["app_sg2"])
 _app_stream("sg3", 14_000, _SQL["app_sg3"])
+_app_stream("lrb1", 40_000, _SQL["app_lrb1"])
+_app_stream("lrb2", 4000, _SQL["app_lrb2"])
 _app_stream("lrb3", 4000, _SQL["app_lrb3"], staged=True)
 _app_stream("nbq5", 8000, _grown("nbq5", 40_000, 8000))
 _app_stream("ysb", 250_000, _SQL["app_ysb"])
