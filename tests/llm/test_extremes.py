@@ -168,6 +168,40 @@ def numpy_mcd(x, share=0.75):
     return min(found, key=lambda f: f[0])
 
 
+def test_estimates_lean_on_all_documents(spark):
+    r = np.random.default_rng(4)
+    own, whole = (np.cov(r.normal(size=(4, 40)) * 0.3) + np.diag(np.square(quality.FLOORS)) for _ in range(2))
+    centres = r.normal(size=(2, 4))
+
+    def row(g, centre, cov):
+        low = np.linalg.cholesky(cov)
+        return (g, *centre.tolist(), *[float(low[i, j]) for i, j in quality._PAIRS], float(np.linalg.slogdet(cov)[1]))
+
+    estimates = spark.createDataFrame([row("a", centres[0], own), row("b", centres[0], own), row("", centres[1], whole)], ["g", *quality._ESTIMATE])
+    got = {x.g: x for x in quality.regularised(estimates, spark.createDataFrame([("a", 3), ("b", 10**6)], "g string, n long")).collect()}
+    assert set(got) == {"a", "b"}
+    for g, n in (("a", 3), ("b", 10**6)):
+        cov = (n * own + 50 * whole) / (n + 50)
+        assert np.allclose([got[g][f"m{i}"] for i in range(4)], (n * centres[0] + 5 * centres[1]) / (n + 5))
+        assert np.allclose([got[g][f"l{i}{j}"] for i, j in quality._PAIRS], [np.linalg.cholesky(cov)[i, j] for i, j in quality._PAIRS])
+
+
+def test_small_groups_are_judged_like_large_ones(spark):
+    r = random.Random(21)
+    vocabulary = ["".join(r.choices("abcdefgh", k=r.randint(2, 7))) for _ in range(3000)]
+    sizes = {"one": 1, "few": 6, "below": 49, "above": 51, "many": 400}
+    made, planted = [], set()
+    for source, n in sizes.items():
+        for k in range(n):
+            words = r.choices(vocabulary, k=r.randint(60, 200))
+            if k % 20 == 5:
+                words = [w + "#|" for w in words]
+                planted.add(len(made))
+            made.append((len(made), " ".join(words), "en", source))
+    rows = quality.robust_outliers(spark.createDataFrame(made, "doc_id long, text string, lang string, source string")).collect()
+    assert {x.doc_id for x in rows if not x.kept} == planted
+
+
 def test_least_determinant_is_that_of_numpy(spark):
     rng = np.random.default_rng(17)
     groups, rows = {}, []

@@ -5,7 +5,9 @@ statistics to a vector of four numbers and, per language and source, estimates i
 by the minimum covariance determinant: from several starts (medians with quartile spreads, with the correlation of
 squashed values, with spatial signs, and plain moments), concentration steps refit centre and covariance on the three
 quarters of the documents with the smallest Mahalanobis distances, until no determinant shrinks any more; the start that ends with the
-smallest determinant counts. A document is rejected if its squared distance is beyond a quantile of chi-square.
+smallest determinant counts. Groups of every size are estimated alike and then regularised: an estimate is averaged with
+that of all documents, which weighs as much as a few documents more, so a small group leans on it and a large one doesn't. A
+document is rejected if its squared distance is beyond a quantile of chi-square.
 
 A group may hold a third of all rows. No step gathers a group: medians come from counts of values on a fixed
 grid, and a concentration step is one pass that sums moments per group, start and distance on a fixed grid, all
@@ -35,6 +37,8 @@ GRID, DISTANCES = 256, 64
 SALTS = 64
 #: Concentration steps of all starts, starts that go on, and the decrease of a log-determinant that counts as none.
 FIRST_STEPS, BEST, STILL = 2, 2, 1e-3
+#: Documents that the estimate of all documents weighs in a group's centre and in its covariance, which needs more of them.
+CENTRE_PRIOR, SPREAD_PRIOR = 5, 50
 
 
 def _let(value: Column, body) -> Column:
@@ -141,10 +145,13 @@ def consistency(share: float) -> float:
     return share / below(lo, _N // 2 + 1)
 
 
-def _factored(sums: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and an estimate from centres m_i and covariances s_ij: the Cholesky factor and the log-determinant; no deviation is below its floor."""
+def _factored(sums: DataFrame, keys: list[str], floored: bool = False) -> DataFrame:
+    """keys and an estimate from centres m_i and covariances s_ij: the Cholesky factor and the log-determinant; no deviation is below its floor.
+
+    Covariances that are ``floored`` hold their floors already.
+    """
     for i, j in _PAIRS:
-        spread = F.col(f"s{i}{j}") + (F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0))
+        spread = F.col(f"s{i}{j}") + (F.lit(FLOORS[i] ** 2) if i == j and not floored else F.lit(0.0))
         rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), spread)
         sums = sums.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2))) if i == j else rest / F.col(f"l{j}{j}"))
     return sums.withColumn("det", sum((2 * F.log(f"l{i}{i}") for i in range(_N)), F.lit(0.0))).select(*keys, *_ESTIMATE)
@@ -258,6 +265,22 @@ def least_determinant(rows: DataFrame, share: float = 0.75) -> DataFrame:
     return out
 
 
+def regularised(estimates: DataFrame, sizes: DataFrame, whole: str = "") -> DataFrame:
+    """The estimates of the groups in ``sizes`` (g, n), each averaged with that of the group ``whole``; (n, prior) are the weights."""
+    pool = estimates.filter(F.col("g") == whole).select(*[F.col(c).alias(f"w_{c}") for c in _ESTIMATE])  # one row
+
+    def spread(i: int, j: int, of: str) -> Column:
+        return reduce(lambda a, k: a + F.col(f"{of}l{i}{k}") * F.col(f"{of}l{j}{k}"), range(1, j + 1), F.col(f"{of}l{i}0") * F.col(f"{of}l{j}0"))
+
+    def mixed(own: Column, other: Column, prior: int) -> Column:
+        return (F.col("n") * own + prior * other) / (F.col("n") + prior)
+
+    both = estimates.filter(F.col("g") != whole).join(sizes, "g").join(F.broadcast(pool))
+    centre = [mixed(F.col(f"m{i}"), F.col(f"w_m{i}"), CENTRE_PRIOR).alias(f"m{i}") for i in range(_N)]
+    spreads = [mixed(spread(i, j, ""), spread(i, j, "w_"), SPREAD_PRIOR).alias(f"s{i}{j}") for i, j in _PAIRS]
+    return _factored(both.select("g", *centre, *spreads), ["g"], floored=True)
+
+
 def robust_outliers(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -265,13 +288,11 @@ def robust_outliers(
     min_words: int = 50,
     max_repeat_percent: int = 50,
     support: float = 0.75,
-    least_group: int = 50,
     reject_at: float = CHI_SQUARE,
 ) -> DataFrame:
     """Base statistics, base_failed, distance and kept for every row of ``docs``.
 
-    Groups are languages and sources, among documents that pass the base rules; those with fewer than
-    ``least_group`` such documents share one pooled group, as their own covariance would say nothing. A document is kept if
+    Groups are languages and sources, among documents that pass the base rules. A document is kept if
     it passes the base rules and its squared distance is at most ``reject_at``. A null text counts as
     empty and fails the base rules; null languages and sources are a group like any other; a
     repeated row is judged like its first. Missing columns lang or source count as null, further
@@ -284,13 +305,13 @@ def robust_outliers(
     stats = durable(_vector(stats))
     passing = stats.filter(~F.col("base_failed"))
     group = F.struct(F.coalesce(F.col("lang").isNull(), F.lit(False)), F.coalesce("lang", F.lit("")), F.col("source").isNull(), F.coalesce("source", F.lit("")))
-    sizes = passing.groupBy(F.to_json(group).alias("g")).count().filter(F.col("count") >= least_group).select("g", F.lit(True).alias("own"))
     salt = F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(SALTS)).cast("int")
-    rows = passing.withColumn("g", F.to_json(group)).withColumn("salt", salt)
-    rows = rows.join(sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "salt"], "left")
-    rows = durable(rows.withColumn("g", F.when(F.col("own"), F.col("g")).otherwise("")).drop("own"))
+    rows = durable(passing.withColumn("g", F.to_json(group)).withColumn("salt", salt))
+    twice = rows.select("salt", *FEATURES, F.explode(F.array("g", F.lit(""))).alias("g"))  # every document counts in its group and in the whole
+    sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
+    estimates = regularised(least_determinant(twice, support), sizes)
 
-    judged = _given(rows, least_determinant(rows, support), ["g"]).withColumn("distance", _distance()).withColumn("kept", F.col("distance") <= reject_at)
+    judged = _given(rows, estimates, ["g"]).withColumn("distance", _distance()).withColumn("kept", F.col("distance") <= reject_at)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     failed = stats.filter("base_failed").select(*names, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return judged.select(*names, "distance", "kept").union(failed)
