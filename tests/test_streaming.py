@@ -9,6 +9,7 @@ from windowflow.operators.window import WindowSpec
 from windowflow.plans.query import Application, Query
 from windowflow.sources import readers, sinks
 from windowflow.streaming import lower
+from windowflow.streaming.bounded import run_to_end
 from windowflow.streaming.runtime import Metrics, Runtime
 
 
@@ -117,3 +118,12 @@ def test_metrics_weigh_latency_by_rows():
     said = m.summary()
     assert (said["rows"], said["batches"], said["most_rows"]) == (100, 2, 90)
     assert said["latency_ms"] == {5: 100, 25: 300, 50: 300, 75: 300, 99: 300}
+
+
+def test_a_session_on_a_stream_ends_a_whole_gap_after_its_last_row(spark, tmp_path):
+    for rows in ([(0, "a"), (2, "a")], [(5, "a")], [(20, "a")]):
+        spark.createDataFrame(rows, "s long, k string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    df = readers.file_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    app = Application([Query(1, [Aggregate(WindowSpec.session(3), [Agg("cnt", None, "n")], [("k", "k")])])])
+    got = run_to_end(spark, app, {1: (df,)}, folder=str(tmp_path / "run"))
+    assert sorted(map(tuple, got.collect())) == [(0, 5, "a", 2), (5, 8, "a", 1)]

@@ -147,3 +147,10 @@ def test_applications_run(spark, name):
 def test_ysb_by_arithmetic(spark):
     rows = benchmarks.run(spark, "ysb", 300_000).collect()
     assert sum(r.n for r in rows if r.window_start == 0) == 33_334
+
+
+def test_a_session_ends_a_whole_gap_after_its_last_row(spark):
+    rows = [(0, 1, "a", 1.0, 1.0), (2, 2, "a", 1.0, 1.0), (5, 3, "a", 1.0, 1.0), (20, 4, "a", 1.0, 1.0)]
+    df = spark.createDataFrame([(r[0], r[2]) for r in rows], "s long, k string")
+    got = batch.lower(Aggregate(WindowSpec.session(3), [Agg("cnt", None, "n")], [("k", "k")]), df)
+    assert sorted(map(tuple, got.collect())) == [(0, 5, "a", 2), (5, 8, "a", 1)]
