@@ -127,3 +127,40 @@ def test_a_session_on_a_stream_ends_a_whole_gap_after_its_last_row(spark, tmp_pa
     app = Application([Query(1, [Aggregate(WindowSpec.session(3), [Agg("cnt", None, "n")], [("k", "k")])])])
     got = run_to_end(spark, app, {1: (df,)}, folder=str(tmp_path / "run"))
     assert sorted(map(tuple, got.collect())) == [(0, 5, "a", 2), (5, 8, "a", 1)]
+
+
+class Standing:
+    """A runtime in which nothing happens, or whose query has ended."""
+
+    def __init__(self, active):
+        self.running, self.metrics = [self], Metrics()
+        self.isActive = active
+
+    def exception(self):
+        return None
+
+
+@pytest.mark.parametrize(("lines", "active", "error"), [(["1"], True, TimeoutError), (["1"], False, RuntimeError)])
+def test_a_socket_loop_that_fails_is_no_result(lines, active, error):
+    feeder, receiver = sinks.Feeder(lines), sinks.Receiver()
+    receiver.rows[0, 0, 0] = {}
+    try:
+        with pytest.raises(error):
+            sinks.wait_for(receiver, 2, feeder, Standing(active), stalled=0.5)
+    finally:
+        feeder.close()
+        receiver.close()
+
+
+def test_the_receiver_keeps_equal_rows(spark, tmp_path):
+    receiver = sinks.Receiver()
+    spark.createDataFrame([(1, "a")] * 3, "s long, k string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    df = readers.file_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    run = Runtime(spark, Application([Query(1, [Select(Ref("s") == 1)])]), str(tmp_path / "check"))
+    try:
+        run.start({1: (df,)}, {1: sinks.tcp("127.0.0.1", receiver.port)})
+        sinks.wait_for(receiver, 3, sinks.Feeder([]), Standing(True), stalled=30)
+    finally:
+        run.stop()
+        receiver.close()
+    assert len(receiver.rows) == 3
