@@ -154,3 +154,22 @@ def test_a_session_ends_a_whole_gap_after_its_last_row(spark):
     df = spark.createDataFrame([(r[0], r[2]) for r in rows], "s long, k string")
     got = batch.lower(Aggregate(WindowSpec.session(3), [Agg("cnt", None, "n")], [("k", "k")]), df)
     assert sorted(map(tuple, got.collect())) == [(0, 5, "a", 2), (5, 8, "a", 1)]
+
+
+@pytest.mark.parametrize("lowering", ["frame", "explode"])
+def test_the_largest_rows_of_long_windows(spark, lowering):
+    rows = stream(5, 150)
+    op = Aggregate(WindowSpec.range(12, 1), [Agg("cnt", None, "n")], [("k", "k")], arg_max="n", lowering=lowering)
+    got = sorted((r.window_start, r.k, r.n) for r in batch.lower(op, spark.createDataFrame(rows, SCHEMA)).collect())
+    counts = {k: v[1] for k, v in expected_range(rows, 12, 1, True).items()}
+    best = {}
+    for (at, _), n in counts.items():
+        best[at] = max(best.get(at, 0), n)
+    assert got == sorted((at, k, n) for (at, k), n in counts.items() if n == best[at])
+
+
+def test_windows_are_not_shuffled(spark):
+    """Starts are expanded after the last shuffle, so only panes pass it."""
+    op = Aggregate(WindowSpec.range(16, 1), [Agg("avg", "v", "mean")], [("k", "k")])
+    plan = batch.lower(op, spark.createDataFrame(stream(6), SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "sequence(_from" in plan[: plan.index("Exchange")]
