@@ -164,3 +164,9 @@ def test_the_receiver_keeps_equal_rows(spark, tmp_path):
         run.stop()
         receiver.close()
     assert len(receiver.rows) == 3
+
+
+def test_row_windows_are_grouped_at_once():
+    w, panes = WindowSpec.rows(6, 4), pd.DataFrame({"_pane": range(12), "_t": range(12), "_rows": 2, "s_n": 2, "n_n": 2})
+    got = lower._window_states(panes, [], w, 1, 4, [Agg("cnt", None, "n")])
+    assert got[["_window", "_t", "_rows"]].to_numpy().tolist() == [[i, 2 * i + 2, 6] for i in range(1, 5)]
