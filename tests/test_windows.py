@@ -173,3 +173,16 @@ def test_windows_are_not_shuffled(spark):
     op = Aggregate(WindowSpec.range(16, 1), [Agg("avg", "v", "mean")], [("k", "k")])
     plan = batch.lower(op, spark.createDataFrame(stream(6), SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" in plan and "sequence(_from" in plan[: plan.index("Exchange")]
+
+
+@pytest.mark.parametrize(("small", "broadcast"), [(100, True), (3, False)])
+def test_a_small_left_side_of_a_join_is_broadcast(spark, small, broadcast):
+    left, right = (spark.createDataFrame([(i, i * k) for i in range(6)], "t long, v long") for k in (1, 2))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = batch.lower(ThetaJoin(WindowSpec.range(1), WindowSpec.range(1), small=small), left, right, "t")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan) == broadcast
+        assert got.count() == 16
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
