@@ -1,3 +1,4 @@
+import numpy as np
 import pandas as pd
 import pytest
 from test_windows import AGGS, SCHEMA, stream
@@ -8,7 +9,7 @@ from windowflow.operators.core import Aggregate, Select, ThetaJoin
 from windowflow.operators.window import WindowSpec
 from windowflow.plans.query import Application, Query
 from windowflow.sources import readers, sinks
-from windowflow.streaming import lower
+from windowflow.streaming import intervals, lower
 from windowflow.streaming.bounded import run_to_end
 from windowflow.streaming.runtime import Metrics, Runtime
 
@@ -170,3 +171,36 @@ def test_row_windows_are_grouped_at_once():
     w, panes = WindowSpec.rows(6, 4), pd.DataFrame({"_pane": range(12), "_t": range(12), "_rows": 2, "s_n": 2, "n_n": 2})
     got = lower._window_states(panes, [], w, 1, 4, [Agg("cnt", None, "n")])
     assert got[["_window", "_t", "_rows"]].to_numpy().tolist() == [[i, 2 * i + 2, 6] for i in range(1, 5)]
+
+
+def test_long_windows_hold_panes_and_no_window_as_state(spark, tmp_path):
+    app = Application([Query(1, [Aggregate(WindowSpec.range(64, 1), [Agg("avg", "v", "mean"), Agg("cnt", None, "n")], [("k", "k")])])])
+    run = Runtime(spark, app, str(tmp_path / "check"))
+    plan = run.plans({1: (feed(spark, tmp_path / "in", stream(7, 4)),)})[1]._jdf.queryExecution().analyzed().toString()
+    run.stop()
+    assert plan.count("Aggregate [") == 1 and plan.count("TransformWithState") == 1
+
+
+@pytest.mark.parametrize("n", [1, 5, 16])
+def test_intervals_of_windows(n):
+    rng = np.random.default_rng(n)
+    cells = np.unique(rng.integers(0, [3, 60], (70, 2)), axis=0)
+    key, at = cells[:, 0], cells[:, 1]
+    x, low = rng.integers(0, 100, len(at)), np.where(rng.random(len(at)) < 0.3, np.nan, rng.random(len(at)))
+    of, start, stop, out = intervals.merged(key, at, {"x": (x, np.add), "low": (low, np.fmin)}, n, 7, 50)
+    got = {(key[of[i]], s): (out["x"][i], out["low"][i]) for i in range(len(of)) for s in range(start[i], stop[i] + 1)}
+    assert len(got) == (stop - start + 1).sum()
+    want = {}
+    for k in range(3):
+        for s in range(7, 51):
+            own = (key == k) & (at >= s) & (at < s + n)
+            if own.any():
+                want[k, s] = (x[own].sum(), np.fmin.reduce(low[own]))
+    assert got.keys() == want.keys()
+    assert all(got[c][0] == want[c][0] and (got[c][1] == want[c][1] or np.isnan(got[c][1]) and np.isnan(want[c][1])) for c in want)
+
+
+def test_largest_of_intervals():
+    found = pd.DataFrame({"_from": [0, 2, 0], "_to": [1, 6, 6], "_end": 0, "k": ["a", "a", "b"], "n": [5, 2, 2]})
+    got = intervals.largest(found, "n", 1)
+    assert sorted(got[["k", "n", "_from", "_to"]].itertuples(index=False, name=None)) == [("a", 2, 2, 6), ("a", 5, 0, 1), ("b", 2, 2, 6)]
