@@ -10,6 +10,7 @@ from windowflow.functions.stats import column_stats
 from windowflow.operators.core import Aggregate, Project, StaticJoin, ThetaJoin
 from windowflow.operators.window import WindowSpec
 from windowflow.plans import batch
+from windowflow.plans.durable import durable, release
 from windowflow.sources import generators
 
 SCHEMA = "t long, id long, k string, v double"
@@ -186,3 +187,12 @@ def test_a_small_left_side_of_a_join_is_broadcast(spark, small, broadcast):
         assert got.count() == 16
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tasks_that_write_durable_tables_stay_small(spark):
+    """Grouped rows of some 20 MB of shuffle aren't joined up into one task, and the session's settings stay."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before, rows = spark.conf.get(key), spark.range(4_000_000).select(F.xxhash64("id").alias("k"))
+    table = durable(rows.groupBy("k").count())
+    assert len(table.inputFiles()) > 1 and spark.conf.get(key) == before
+    release(table)
