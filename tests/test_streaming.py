@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from test_windows import AGGS, SCHEMA, stream
 
 from windowflow.functions.aggregates import Agg
@@ -204,3 +205,14 @@ def test_largest_of_intervals():
     found = pd.DataFrame({"_from": [0, 2, 0], "_to": [1, 6, 6], "_end": 0, "k": ["a", "a", "b"], "n": [5, 2, 2]})
     got = intervals.largest(found, "n", 1)
     assert sorted(got[["k", "n", "_from", "_to"]].itertuples(index=False, name=None)) == [("a", 2, 2, 6), ("a", 5, 0, 1), ("b", 2, 2, 6)]
+
+
+def test_intervals_keep_null_keys_and_states(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lower, "BLOCKS_FROM", 2)
+    rows = [(t, i, None if i % 3 == 0 else "" if i % 3 == 1 else "a", None if i % 4 < 2 else float(i)) for i, t in enumerate(range(3, 43))]
+    day = ("day", lambda df: F.when(F.col("id") % 5 > 0, F.date_add(F.lit("1970-01-01").cast("date"), (F.col("id") % 2).cast("int"))))
+    make = lambda: Application([Query(1, [Aggregate(WindowSpec.range(6, 1), AGGS, [("k", "k"), day])])])
+    want = make().run({1: (spark.createDataFrame(rows, SCHEMA),)})[1]
+    got = run_to_end(spark, make(), {1: (feed(spark, tmp_path / "in", rows, 2),)}, rows[0][0], str(tmp_path / "run"))
+    said = [sorted(tuple(map(str, r)) for r in df.select(*sorted(df.columns)).collect()) for df in (got, want)]
+    assert said[1] and said[0] == said[1]
