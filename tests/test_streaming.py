@@ -8,10 +8,11 @@ from windowflow.functions.aggregates import Agg
 from windowflow.functions.expressions import Ref
 from windowflow.operators.core import Aggregate, Select, ThetaJoin
 from windowflow.operators.window import WindowSpec
+from windowflow.plans.durable import new_folder
 from windowflow.plans.query import Application, Query
-from windowflow.sources import readers, sinks
+from windowflow.sources import generators, readers, sinks
 from windowflow.streaming import intervals, lower
-from windowflow.streaming.bounded import run_to_end
+from windowflow.streaming.bounded import in_parts, run_to_end
 from windowflow.streaming.runtime import Metrics, Runtime
 
 
@@ -216,3 +217,26 @@ def test_intervals_keep_null_keys_and_states(spark, tmp_path, monkeypatch):
     got = run_to_end(spark, make(), {1: (feed(spark, tmp_path / "in", rows, 2),)}, rows[0][0], str(tmp_path / "run"))
     said = [sorted(tuple(map(str, r)) for r in df.select(*sorted(df.columns)).collect()) for df in (got, want)]
     assert said[1] and said[0] == said[1]
+
+
+@pytest.mark.parametrize("having", [None, Ref("mean") < -25.0, Ref("window_start") >= 20])
+def test_windows_are_committed_as_intervals(spark, tmp_path, monkeypatch, having):
+    monkeypatch.setattr(lower, "BLOCKS_FROM", 2)
+    rows = stream(12, 80)
+    make = lambda: Application([Query(1, [Aggregate(WindowSpec.range(12, 2), AGGS, [("k", "k")], having=having)])])
+    got = run_to_end(spark, make(), {1: (feed(spark, tmp_path / "in", rows),)}, rows[0][0], str(tmp_path / "run"))
+    want = make().run({1: (spark.createDataFrame(rows, SCHEMA),)})[1]
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert want.count() and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    held = spark.read.parquet(str(tmp_path / "run" / "out"))
+    assert ("_from" in held.columns) == (having is None or having.left.at == "mean")
+    assert "_from" not in held.columns or held.count() < got.count()
+
+
+def test_a_micro_batch_is_written_by_several_tasks(spark):
+    df = in_parts(spark, [generators.smart_grid(spark, generators.ids(spark, a, a + 50, 3)) for a in (0, 50)], 3)
+    seen = []
+    df.writeStream.foreachBatch(lambda x, i: seen.append(x.count())).option("checkpointLocation", new_folder(spark, "c")).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [50, 50]
+    with pytest.raises(RuntimeError):
+        in_parts(spark, [generators.smart_grid(spark, generators.ids(spark, 0, 50, 3))], 2)
