@@ -11,7 +11,8 @@ from windowflow.operators.window import WindowSpec
 from windowflow.plans.durable import new_folder
 from windowflow.plans.query import Application, Query
 from windowflow.sources import generators, readers, sinks
-from windowflow.streaming import intervals, lower
+from windowflow.apps import benchmarks
+from windowflow.streaming import bounded, intervals, lower
 from windowflow.streaming.bounded import in_parts, run_to_end
 from windowflow.streaming.runtime import Metrics, Runtime
 
@@ -240,3 +241,17 @@ def test_a_micro_batch_is_written_by_several_tasks(spark):
     assert seen == [50, 50]
     with pytest.raises(RuntimeError):
         in_parts(spark, [generators.smart_grid(spark, generators.ids(spark, 0, 50, 3))], 2)
+
+
+def test_a_join_of_committed_windows_is_no_state(spark, monkeypatch):
+    ran = []
+
+    def committed(spark, app, inputs, origin, folder, packed):
+        ran.append((app.queries[0].ident, packed))
+        return app.run(inputs)[app.queries[0].ident]
+
+    monkeypatch.setattr(bounded, "run_to_end", committed)
+    df = generators.smart_grid(spark, 15_000)
+    got = bounded.run_staged(spark, benchmarks.sg3(spark), {1: (df,), 2: (df,)}, 0, join_on_read=True)
+    assert ran == [(1, True), (2, True)]
+    assert got.count() == benchmarks.run(spark, "sg3", 15_000).count() > 0
