@@ -255,3 +255,11 @@ def test_a_join_of_committed_windows_is_no_state(spark, monkeypatch):
     got = bounded.run_staged(spark, benchmarks.sg3(spark), {1: (df,), 2: (df,)}, 0, join_on_read=True)
     assert ran == [(1, True), (2, True)]
     assert got.count() == benchmarks.run(spark, "sg3", 15_000).count() > 0
+
+
+def test_windows_of_few_rows_are_looked_through_once(spark, tmp_path):
+    app = Application([Query(1, [Aggregate(WindowSpec.range(64, 1), [Agg("cnt", None, "n")], [("k", "k")], arg_max="n")])])
+    run = Runtime(spark, app, str(tmp_path / "check"))
+    plan = run.plans({1: (feed(spark, tmp_path / "in", stream(7, 4)),)})[1]._jdf.queryExecution().analyzed().toString()
+    run.stop()
+    assert plan.count("Aggregate [") == 2 and plan.count("TransformWithState") == 1
