@@ -196,3 +196,14 @@ def test_tasks_that_write_durable_tables_stay_small(spark):
     table = durable(rows.groupBy("k").count())
     assert len(table.inputFiles()) > 1 and spark.conf.get(key) == before
     release(table)
+
+
+def test_few_pairs_of_a_join_of_ranges_are_looked_at_in_vain(spark):
+    spot = spark.range(4000).select(F.col("id").alias("t"), "id")
+    left, right, lo, hi = spot, spot.toDF("u", "j"), F.col("u") - 200, F.col("u") + 100
+    a, b = batch._in_buckets(left, right, F.col("t"), lo, hi, 300)
+    met = a.join(b, "_b")
+    assert met.filter((F.col("t") >= lo) & (F.col("t") <= hi)).count() > met.count() / 1.4
+    op = ThetaJoin(WindowSpec.range(200), WindowSpec.range(100), lambda x, y: x("id") < y("j"))
+    got = batch.lower(op, left, right, "t").count()
+    assert got == sum(min(200, 3999 - i) for i in range(4000))
