@@ -263,3 +263,11 @@ def test_windows_of_few_rows_are_looked_through_once(spark, tmp_path):
     plan = run.plans({1: (feed(spark, tmp_path / "in", stream(7, 4)),)})[1]._jdf.queryExecution().analyzed().toString()
     run.stop()
     assert plan.count("Aggregate [") == 2 and plan.count("TransformWithState") == 1
+
+
+def test_row_windows_of_a_join_take_equal_times_in_the_order_of_numbers_and_over_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lower, "A_BLOCK", 3)
+    meet = ThetaJoin(WindowSpec.rows(4, 2), WindowSpec.rows(3), lambda a, b: a("k") != b("k"))
+    rows = [(i // 5, i + 1, "aab"[i % 3], float(i)) for i in range(40)]  # 9 and 10 have one time, and a file has five rows
+    got, want = both(spark, tmp_path, lambda: Application([Query(1, [meet])]), rows)
+    assert got == want and got
