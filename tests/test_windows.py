@@ -207,3 +207,13 @@ def test_few_pairs_of_a_join_of_ranges_are_looked_at_in_vain(spark):
     op = ThetaJoin(WindowSpec.range(200), WindowSpec.range(100), lambda x, y: x("id") < y("j"))
     got = batch.lower(op, left, right, "t").count()
     assert got == sum(min(200, 3999 - i) for i in range(4000))
+
+
+def test_windows_of_many_panes_are_merged_in_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(batch, "A_TASK", 10)
+    rows = [(i // 2, i, "ab"[i % 2], float(-i)) for i in range(400)]
+    w, df = WindowSpec.range(20, 1), spark.createDataFrame(rows, SCHEMA)
+    panes = durable(batch.pane_table(df, F.col("t"), 1, AGGS, [("k", "k")]))
+    assert panes.count() == 400 and batch._framed(panes, w, ["k"], {"_rows": "sum"}).rdd.getNumPartitions() == 40
+    got = {(r["window_start"], r["k"]): tuple(r[a.name] for a in AGGS) for r in batch.lower(Aggregate(w, AGGS, [("k", "k")]), df).collect()}
+    assert got == expected_range(rows, 20, 1, True)
